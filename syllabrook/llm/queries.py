@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import neighbours
-from syllabrook.sources.tables import table
+from syllabrook.llm import neighbours, scans
+from syllabrook.sources.tables import once, table
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,8 +25,25 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return lists.select(F.col("id").alias("trecho_id"), F.col("rank").alias("posicao"), F.col("other").alias("vizinho_id"), F.round("similarity", 4).alias("similaridade"))
 
 
+def _fields(spark: SparkSession, folder: str) -> DataFrame:
+    """ementa and conteudo_programatico of every record as (key, campo, text), re-sent records once."""
+    records = once(table(spark, folder, "disciplina_equivalencia").select("registro_id", "ementa", "conteudo_programatico"), "registro_id")
+    fields = F.array(*(F.struct(F.lit(c).alias("campo"), F.col(c).alias("text")) for c in ("ementa", "conteudo_programatico")))
+    return records.select(F.col("registro_id").alias("key"), F.inline(fields))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scanning noise in each syllabus field."""
+    return scans.defects(_fields(spark, folder)).withColumnRenamed("key", "registro_id")
+
+
+def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every syllabus field as continuous text; fields without scanning noise as they are."""
+    return scans.repaired(_fields(spark, folder)).withColumnRenamed("key", "registro_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
 
 
 def oracle_sql() -> dict[str, str]:
