@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import neighbours, scans
+from syllabrook.llm import near_duplicates, neighbours, scans
 from syllabrook.sources.tables import once, table
 
 
+def _courses(spark: SparkSession, folder: str) -> DataFrame:
+    """ementa, a line break and conteudo_programatico of every record as one text."""
+    records = table(spark, folder, "disciplina_equivalencia")
+    whole = F.concat_ws("\n", F.coalesce("ementa", F.lit("")), F.coalesce("conteudo_programatico", F.lit("")))
+    return records.select("registro_id", whole.alias("texto"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records at similarity 0.6 or more."""
+    return near_duplicates.similar_pairs(_courses(spark, folder), "registro_id", "texto")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with the group of courses it tells the same as, and its number of links."""
+    return near_duplicates.groups(_courses(spark, folder), "registro_id", "texto").withColumnRenamed("id", "registro_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks at cosine 0.85 or more of which one is among the other's five most similar."""
     vectors = table(spark, folder, "representacao_vetorial")
@@ -43,7 +60,7 @@ def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
 
 
 def oracle_sql() -> dict[str, str]:
