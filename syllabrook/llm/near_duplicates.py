@@ -8,13 +8,14 @@ of three-word runs rather than single bits: at similarity 0.6 two bit signatures
 their places and unrelated ones in a half, which no variant with one wildcard tells apart.
 
 Exact copies are folded first (an aggregation with map-side combine), so a text copied a million
-times is indexed once; the join on variants is skew-safe under adaptive execution and no group is
-ever collected. No bucket is capped.
+times is indexed once. Variants shared by very many different texts are joined apart, salted; no bucket is
+capped and no group is ever collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from syllabrook.session import cut_lineage, keep
 
 SEGMENTS, SEGMENT_SIZE = 10, 5
 BROADCAST_ROWS = 200_000
+HOT, SALTS = 20_000, 16
 
 
 def _signatures(texts: list[str], segments: int, length: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +88,24 @@ def _verify(least: float):
     return run
 
 
+def _candidates(signed: DataFrame, parts: int) -> DataFrame:
+    """Pairs (rep_a < rep_b) that share a variant. Variants are shuffled once; keys of more than ``HOT`` rows are joined apart, salted."""
+    variants = keep(signed.select(F.explode("keys").alias("key"), "id").repartition(parts, "key"))
+    hot = variants.groupBy("key").count().filter(F.col("count") > HOT).select("key")
+    pairs = []
+    calm = variants
+    if hot.limit(1).count():
+        hot = keep(hot)
+        calm = variants.join(hot, "key", "left_anti")
+        busy = variants.join(hot, "key", "left_semi")
+        left = busy.select("key", F.col("id").alias("rep_a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+        right = busy.select("key", F.col("id").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        pairs.append(left.join(right, ["key", "salt"]).select("rep_a", "rep_b"))
+    left, right = calm.select("key", F.col("id").alias("rep_a")), calm.select("key", F.col("id").alias("rep_b"))
+    pairs.append(left.join(right.hint("shuffle_hash"), "key").select("rep_a", "rep_b"))
+    return reduce(DataFrame.union, pairs).filter("rep_a < rep_b").distinct()
+
+
 def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = 0.6, min_words: int = 50, segments: int = SEGMENTS, length: int = SEGMENT_SIZE) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives (rep_a < rep_b, similarity) and the membership (rep, id) of exact copies.
 
@@ -101,10 +121,10 @@ def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = 0
     few = copies.count() <= BROADCAST_ROWS
     unique = data.join(F.broadcast(copies) if few else copies, "id", "left_anti")
     signed = keep(unique.select("id", "text").mapInArrow(_coder(min_words, segments, length), "id long, pairs binary, keys array<long>"))
-    variants = signed.select(F.explode("keys").alias("key"), "id")
-    other = variants.select("key", F.col("id").alias("rep_b"))
-    candidates = variants.withColumnRenamed("id", "rep_a").join(other.hint("shuffle_hash"), "key").filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    sets = signed.select("id", "pairs").dropDuplicates(["id"])
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = keep(signed.select("id", "pairs").repartition(parts, "id").dropDuplicates(["id"]))
+    sets.count()  # fills both caches once, before two branches ask for them at a time
+    candidates = _candidates(signed, parts)
     a, b = sets.toDF("rep_a", "set_a"), sets.toDF("rep_b", "set_b")
     checked = candidates.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(_verify(least), "rep_a long, rep_b long, similarity double")
     return checked, members
