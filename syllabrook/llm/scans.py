@@ -247,8 +247,14 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["word", "n", "variant"])
 
 
-def _words(text: str):
-    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?<=\p{L})c,(?=\p{L})", "ƈ"), r"(?<=\p{L})'(?=\p{L})", "ʼ"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
+def _word_rows(texts: DataFrame, distinct: bool, *keys: str) -> DataFrame:
+    """The words (lower case, 3 to 40 characters) of the column ``text``, one row each, with the key columns."""
+    low = F.lower("text")
+    # marks inside words are rare: only texts that hold them pay for the replacement
+    low = F.when(F.contains(low, F.lit("c,")), F.regexp_replace(low, r"(?<=\p{L})c,(?=\p{L})", "ƈ")).otherwise(low)
+    low = F.when(F.contains(low, F.lit("'")), F.regexp_replace(low, r"(?<=\p{L})'(?=\p{L})", "ʼ")).otherwise(low)
+    words = F.split(low, r"[^\p{L}\p{N}]+")
+    return texts.select(*keys, F.explode(F.array_distinct(words) if distinct else words).alias("word")).filter("length(word) between 3 and 40")
 
 
 def misread_words(texts: DataFrame, ratio: int = 10, least: int = 4) -> DataFrame:
@@ -257,7 +263,7 @@ def misread_words(texts: DataFrame, ratio: int = 10, least: int = 4) -> DataFram
     A word counts as misread if undoing confusions gives a word at least ``ratio`` times as frequent
     and seen ``least`` times or more in all texts. Ties go to the more frequent, then the smaller word.
     """
-    counts = keep(texts.select(F.explode(_words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    counts = keep(_word_rows(texts, False).groupBy("word").agg(F.count("*").alias("n")))
     odd = counts.filter(F.col("word").rlike(r"\p{L}"))
     tried = odd.mapInPandas(_variants, "word string, n long, variant string")
     meant = counts.select(F.col("word").alias("variant"), F.col("n").alias("seen")).filter((F.col("seen") >= least) & ~F.col("variant").rlike(r"\d"))
@@ -285,17 +291,16 @@ def _restore(text: pd.Series, words: pd.Series) -> pd.Series:
 
 def label_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts (key, campo, text) with their lines labelled and reassembled, and the misread words (key, campo, word, meant) in them."""
-    texts = texts.select("key", "campo", "text").filter("text is not null")
+    texts = keep(texts.select("key", "campo", "text").filter("text is not null"))
     spark = texts.sparkSession
-    total = texts.count()
-    least = max(3, int(SHARE * total))
+    least = max(3, int(SHARE * texts.count()))
     several = texts.filter(F.contains("text", F.lit("\n")))
     form = F.regexp_replace(F.translate(F.lower(F.trim("line")), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"), r"\d+", "9")
     lines = several.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.col("line").rlike(r"^\s*\p{Lu}.{2,78}[^.;:,\s]\s*$"))
+    joined = texts.filter(F.contains("text", F.lit("-"))).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+-\p{L}+)"), F.lit(1)))).alias("form"))
     # both sets are bounded: each member stands in a share of all texts
-    running = frozenset(r[0].translate(_FOLD) for r in lines.groupBy(form.alias("f")).count().filter(F.col("count") >= least).select("f").toLocalIterator())
-    joined = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+-\p{L}+)"), F.lit(1)))).alias("w"))
-    compounds = frozenset(r[0] for r in joined.groupBy("w").count().filter(F.col("count") >= least).select("w").toLocalIterator())
+    often = lines.select(F.lit(True).alias("line"), form.alias("form")).union(joined.select(F.lit(False), "form")).groupBy("line", "form").count().filter(F.col("count") >= least).select("line", "form").collect()
+    running, compounds = frozenset(f for x, f in often if x), frozenset(f for x, f in often if not x)
     shown = [r[0].split("\n") for r in several.select("text").limit(SAMPLE).toLocalIterator()]
     model = LineModel().fit([_features(x, running) for x in shown])
     known = spark.sparkContext.broadcast((model, running, compounds))
@@ -312,7 +317,7 @@ def label_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = keep(texts.mapInPandas(label, "key long, campo string, text string, original string, quebra_hifen boolean, cabecalho boolean, numero_pagina boolean"))
     wrong = keep(misread_words(labelled))
     few = wrong.count() <= BROADCAST_ROWS
-    hits = labelled.select("key", "campo", F.explode(F.array_distinct(_words("text"))).alias("word")).join(F.broadcast(wrong) if few else wrong, "word")
+    hits = _word_rows(labelled, True, "key", "campo").join(F.broadcast(wrong) if few else wrong, "word")
     return labelled, hits
 
 
