@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import near_duplicates, neighbours, scans
+from syllabrook.llm import near_duplicates, neighbours, pieces, scans
 from syllabrook.sources.tables import once, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that had to be cut: those with a second piece."""
+    cut = pieces.pieces(table(spark, folder, "trecho_academico"), "trecho_id", "texto")
+    return cut.filter("peca = 1").select(F.col("id").alias("trecho_id")).distinct()
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk in pieces of at most 128 tokens, 16 of them repeated from the piece before."""
+    chunks = once(table(spark, folder, "trecho_academico").select("trecho_id", "texto"), "trecho_id")
+    return pieces.pieces(chunks, "trecho_id", "texto").withColumnRenamed("id", "trecho_id")
+
+
 def _courses(spark: SparkSession, folder: str) -> DataFrame:
     """ementa, a line break and conteudo_programatico of every record as one text."""
     records = table(spark, folder, "disciplina_equivalencia")
@@ -60,8 +72,10 @@ def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": r"SELECT DISTINCT trecho_id FROM trecho_academico WHERE len(regexp_extract_all(texto, '[^ \t\n\x{00a0}]+')) > 128",
+    }
