@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import near_duplicates, neighbours, pieces, scans
+from syllabrook.llm import canonical, near_duplicates, neighbours, pieces, scans
+from syllabrook.llm.name_forms import COURSE_SHORT, INSTITUTION_SHORT
 from syllabrook.sources.tables import once, table
 
 
@@ -71,8 +72,28 @@ def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired(_fields(spark, folder)).withColumnRenamed("key", "registro_id")
 
 
+def p6_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Every institution and course of study with its reference entry, -1 where there is none."""
+    out = []
+    for name, forms, short in (("instituicao", canonical.institution_forms, INSTITUTION_SHORT), ("curso", canonical.course_forms, COURSE_SHORT)):
+        references = forms(table(spark, folder, f"{name}_referencia"), short)
+        mapped = canonical.map_values(table(spark, folder, name), f"{name}_id", "nome", references, short)
+        out.append(mapped.select(F.lit(name).alias("tabela"), "id", "referencia_id"))
+    return out[0].unionByName(out[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for the rows whose name is not letter for letter in the reference list."""
+    typed = []
+    for name in ("instituicao", "curso"):
+        rows = table(spark, folder, name)
+        odd = rows.join(table(spark, folder, f"{name}_referencia").select("nome").distinct(), "nome", "left_anti")
+        typed.append(odd.select(F.lit(name).alias("tabela"), F.col(f"{name}_id").alias("id")))
+    return p6_mapped(spark, folder).join(typed[0].unionByName(typed[1]), ["tabela", "id"], "left_semi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped}
 
 
 def oracle_sql() -> dict[str, str]:
