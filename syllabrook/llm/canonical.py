@@ -14,22 +14,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from syllabrook.llm.name_forms import INSTITUTION_HEADS, bare_form_sql, form_sql, parts_sql, plain_sql
+from syllabrook.session import keep
 
 #: Edits allowed by the length of a reference form.
 EDITS = "CASE WHEN length(form) <= 5 THEN 0 WHEN length(form) <= 11 THEN 2 WHEN length(form) <= 19 THEN 3 ELSE 4 END"
 
+_READINGS = """
+SELECT DISTINCT nome, form, length(form) AS n FROM (
+  SELECT nome, explode(array({value_form}, {bare_form})) AS form FROM (
+    SELECT nome, explode({parts}) AS part FROM (SELECT nome, {plain} AS plain FROM (SELECT DISTINCT nome FROM {{names}} WHERE nome IS NOT NULL))
+  )
+) WHERE form <> ''
+"""
+
 _MATCH = """
 WITH forms AS (
   SELECT *, {edits} AS k, length(form) AS len FROM {{references}} WHERE form <> ''
 ),
+readings AS (
+  SELECT * FROM {{readings}}
+),
 names AS (
   SELECT DISTINCT nome FROM {{names}} WHERE nome IS NOT NULL
 ),
-readings AS (
-  SELECT DISTINCT nome, form, length(form) AS n FROM (
-    SELECT nome, explode(array({value_form}, {bare_form})) AS form FROM (SELECT nome, explode({parts}) AS part FROM (SELECT nome, {plain} AS plain FROM names))
-  ) WHERE form <> ''
-),
 exact AS (
   SELECT r.nome, f.referencia_id, 0 AS distance, f.weight FROM readings r JOIN forms f ON r.form = f.form
 ),
@@ -43,8 +50,8 @@ shapes AS (
   SELECT DISTINCT len, k, i, start, length(piece) AS size FROM segments
 ),
 wanted AS (
-  SELECT nome, form, n, len FROM readings LATERAL VIEW explode(sequence(greatest(n - 4, 1), n + 4)) AS len
-  WHERE nome NOT IN (SELECT nome FROM exact)
+  SELECT nome, form, n, explode(sequence(greatest(n - 4, 1), n + 4)) AS len
+  FROM readings r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.nome = r.nome)
 ),
 places AS (
   -- with i errors at most before the segment and k - i after it, it starts within these positions
@@ -95,9 +102,10 @@ def map_values(values: DataFrame, id_col: str, name_col: str, references: DataFr
     empty reference list maps all to -1; an empty table gives an empty result.
     """
     spark = values.sparkSession
-    sql = _MATCH.format(edits=EDITS, plain=plain_sql("nome"), parts=parts_sql("plain"), value_form=form_sql("part", short), bare_form=bare_form_sql("part")) + _ALL.format()
     own = values.selectExpr(f"`{id_col}` AS id", f"`{name_col}` AS nome")
-    return spark.sql(sql, names=own.select("nome"), values=own, references=references)
+    read = _READINGS.format(plain=plain_sql("nome"), parts=parts_sql("plain"), value_form=form_sql("part", short), bare_form=bare_form_sql("part"))
+    readings = keep(spark.sql(read, names=own))
+    return spark.sql(_MATCH.format(edits=EDITS) + _ALL.format(), names=own, readings=readings, values=own, references=keep(references))
 
 
 def institution_forms(entries: DataFrame, short: Sequence[tuple[str, str]]) -> DataFrame:

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from syllabrook.functions.text import ACCENTED, PLAIN
 
-# Letters of UTF-8 text read as Latin-1, after lower-casing.
-MOJIBAKE = (
-    ("â€“", "–"), ("â€”", "—"), ("â€˜", "'"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("â\u0080\u0093", "–"), ("â\u0080\u0094", "—"),
-    ("ã¡", "á"), ("ã¢", "â"), ("ã£", "ã"), ("ã¤", "ä"), ("ã§", "ç"), ("ã©", "é"), ("ãª", "ê"), ("ã³", "ó"), ("ã´", "ô"), ("ãµ", "õ"), ("ãº", "ú"), ("ã¼", "ü"), ("ã­", "í"), ("ã ", "à"),
-    ("ã\u0081", "á"), ("ã\u0083", "ã"), ("ã\u0087", "ç"), ("ã\u0089", "é"), ("ã\u008a", "ê"), ("ã\u008d", "í"), ("ã\u0093", "ó"), ("ã\u0095", "õ"), ("ã\u009a", "ú"), ("ã\u0082", "â"), ("ã\u0094", "ô"),
-)
+# UTF-8 text read as Latin-1 or Windows-1252 has a letter as "Ã" and the character of its second byte; that
+# byte stands for the letter 0x40 above. Both strings follow from this rule.
+def _second_bytes() -> tuple[str, str]:
+    seen: dict[str, str] = {}
+    for byte in range(0x80, 0xC0):
+        letter = chr(byte + 0x40).lower()
+        if letter not in ACCENTED:
+            continue
+        for charset in ("latin-1", "cp1252"):
+            shown = bytes([byte]).decode(charset, "ignore").lower()
+            if shown:
+                seen.setdefault(shown, PLAIN[ACCENTED.index(letter)])
+    return "".join(seen), "".join(seen.values())
+
+
+SECOND, SECOND_PLAIN = _second_bytes()
 # Abbreviations people use, as regular expressions on lower-case text without accents.
 INSTITUTION_SHORT = (
-    (r"\b(fac|facu|facul|facs|fculd)\b\.? ?(integr?|integrad)\b", "faculdades integradas"), (r"\bfatec\b|\bfactec\b|\bfac ?tec\b|\bft\b", "faculdade tecnologia"),
+    (r"\b(fac|facu|facul|facs|fculd)\b\.? ?(integr?|integrad|int)\b", "faculdades integradas"), (r"\bfatec\b|\bfactec\b|\bfac ?tec\b|\bft\b", "faculdade tecnologia"),
     (r"\bunicentro\b|\bcu\b|\bc univ\w*", "centro universitario"), (r"\b(ctro|cent|centr) (universit\w*|univ\w*)", "centro universitario"), (r"\bcentro (univ|univers|universit)\b", "centro universitario"),
     (r"\buf\b|\bunifed\b", "universidade federal"), (r"\bue\b|\buniest\b", "universidade estadual"), (r"\bif\b", "instituto federal"),
     (r"\bu\b|\b(univ|univers|universid|universidad)\b", "universidade"), (r"\b(fed|feder)\b", "federal"), (r"\b(est|estad)\b", "estadual"), (r"\b(inst|instit|institut)\b", "instituto"),
     (r"\b(fac|facu|facul|faculd)\b", "faculdade"), (r"\bfacs\b", "faculdades"), (r"\b(tec|tecn|tecno|tecnol|tecno l)\b", "tecnologia"), (r"\b(ctro|cent|centr)\b", "centro"), (r"\b(universit|universitar)\b", "universitario"),
-    (r"\besc\b", "escola"), (r"\bsup\b", "superior"), (r"\bintegr\b", "integradas"), (r"\bmte\b", "monte"), (r"\bs\b(?=[ ,]|$)", "sao"), (r"\bsta\b", "santa"), (r"\bpto\b", "porto"), (r"\bvl\b", "vila"), (r"\blag\b", "lagoa"), (r"\bcach\b", "cachoeira"),
+    (r"\besc\b", "escola"), (r"\bsup\b", "superior"), (r"\b(integr|integrad|int)\b", "integradas"), (r"\bmte\b", "monte"), (r"\bs\b(?=[ ,]|$)", "sao"), (r"\bsta\b", "santa"), (r"\bpto\b", "porto"), (r"\bvl\b", "vila"), (r"\blag\b", "lagoa"), (r"\bcach\b", "cachoeira"),
 )
 COURSE_SHORT = (
     (r"\bcurso superior (de|em)\b|\bcurso (de|em)\b|\bgraduacao em\b|\bgrad em\b|\bgrad\b|\bbacharelado em\b|\bbacharelado\b|\bbach em\b|\bbach\b|\blicenciatura em\b|\blicenciatura\b|\blic em\b|\blic\b|\btecnologo em\b|\bcst em\b|\bcst\b", " "),
@@ -45,18 +56,19 @@ def _quote(text: str) -> str:
 
 def plain_sql(column: str) -> str:
     """Lower case, mojibake undone, no diacritics, dotted initials closed up, any white space as one blank."""
-    x = f"lower({column})"
-    for bad, good in MOJIBAKE:
-        x = f"replace({x}, {_quote(bad)}, {_quote(good)})"
+    low = f"translate(replace(lower({column}), 'â€“', ' - '), '–—', '--')"
+    broken = f"ã(?=[{SECOND}])"
+    x = f"CASE WHEN {low} RLIKE {_quote(broken)} THEN translate(regexp_replace({low}, {_quote(broken)}, ''), {_quote(SECOND)}, {_quote(SECOND_PLAIN)}) ELSE {low} END"
     x = f"translate({x}, {_quote(ACCENTED + 'ªº')}, {_quote(PLAIN + 'ao')})"
     x = f"regexp_replace({x}, {_quote(r'(?U)\\s+')}, ' ')".replace("\\\\\\\\", "\\\\")
-    return f"trim(regexp_replace({x}, {_quote(chr(92) + 'b([a-z])[.](?=[a-z])')}, '$1'))"
+    x = f"regexp_replace({x}, {_quote(chr(92) + 'b([a-z])[.](?=[a-z])')}, '$1')"
+    return f"trim(regexp_replace({x}, {_quote('[.]([a-z])' + chr(92) + 'b(?![.])')}, '$1'))"
 
 
 def parts_sql(plain: str) -> str:
     """The ways to read a plain name: without bracketed notes, each part between dashes and slashes, parts around a comma swapped, initials before a dash dropped."""
     noted = f"regexp_replace(regexp_replace({plain}, {_quote(chr(92) + '([^)]*' + chr(92) + ')')}, ' '), {_quote(chr(92) + 'bs/c' + chr(92) + 'b')}, ' ')"
-    split = f"split({noted}, {_quote(' [-–—] |[/|;]')})"
+    split = f"split({noted}, {_quote(' - |[/|;]')})"
     swapped = f"transform({split}, p -> CASE WHEN p LIKE '%,%' THEN concat(substring_index(p, ',', -1), ' ', substring_index(p, ',', 1)) ELSE p END)"
     return f"array_distinct(concat(array({noted}), {split}, {swapped}))"
 
@@ -66,9 +78,22 @@ def bare_form_sql(part: str) -> str:
     return form_sql(part, ())
 
 
+def expand_sql(words: str, short: Sequence[tuple[str, str]]) -> str:
+    """Words (letters and digits between single blanks) with abbreviations spelled out: whole words by a table, others by pattern."""
+    table: dict[str, str] = {}
+    for pattern, full in short:
+        if re.fullmatch(r"(\|?\\b(\([a-z|]+\)|[a-z]+)\\b)+", pattern):
+            for word in re.findall(r"[a-z]+", pattern.replace(r"\b", " ")):
+                table.setdefault(word, full)
+        else:
+            words = f"regexp_replace({words}, {_quote(pattern)}, {_quote(full)})"
+    if table:
+        entries = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+        words = f"array_join(transform(split({words}, ' +'), t -> coalesce(map({entries})[t], t)), ' ')"
+    return words
+
+
 def form_sql(part: str, short: Sequence[tuple[str, str]]) -> str:
     """A part with abbreviations spelled out, without small words, as letters and digits run together."""
-    x = f"trim(regexp_replace({part}, '[^a-z0-9]+', ' '))"
-    for pattern, full in short:
-        x = f"regexp_replace({x}, {_quote(pattern)}, {_quote(full)})"
-    return f"regexp_replace(regexp_replace({x}, {_quote(STOP)}, ''), ' +', '')"
+    words = expand_sql(f"trim(regexp_replace({part}, '[^a-z0-9]+', ' '))", short)
+    return f"regexp_replace(regexp_replace({words}, {_quote(STOP)}, ''), ' +', '')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import canonical, near_duplicates, neighbours, pieces, scans
+from syllabrook.llm import canonical, entities, near_duplicates, neighbours, pieces, scans
 from syllabrook.llm.name_forms import COURSE_SHORT, INSTITUTION_SHORT
 from syllabrook.sources.tables import once, table
 
@@ -92,8 +92,30 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_mapped(spark, folder).join(typed[0].unionByName(typed[1]), ["tabela", "id"], "left_semi")
 
 
+def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of course units within their institution, and of institutions that the reference list lacks."""
+    units = entities.link(table(spark, folder, "disciplina"), "disciplina_id", "nome", "instituicao_id", entities.course_units, established=True)
+    rows = table(spark, folder, "instituicao")
+    references = canonical.institution_forms(table(spark, folder, "instituicao_referencia"), INSTITUTION_SHORT)
+    unlisted = canonical.map_values(rows, "instituicao_id", "nome", references, INSTITUTION_SHORT).filter("referencia_id = -1")
+    other = rows.join(unlisted.select(F.col("id").alias("instituicao_id")), "instituicao_id", "left_semi")
+    return units, entities.link(other, "instituicao_id", "nome", None, entities.institutions, established=False)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows of one course unit or institution."""
+    out = [entities.linked_pairs(x).select(F.lit(name).alias("tabela"), "id_a", "id_b") for name, x in zip(("disciplina", "instituicao"), _linked(spark, folder), strict=True)]
+    return out[0].unionByName(out[1])
+
+
+def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row that names something with the entity it belongs to."""
+    out = [x.select(F.lit(name).alias("tabela"), "id", "escopo", "nivel", "nome") for name, x in zip(("disciplina", "instituicao"), _linked(spark, folder), strict=True)]
+    return out[0].unionByName(out[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities}
 
 
 def oracle_sql() -> dict[str, str]:
