@@ -67,7 +67,7 @@ candidates AS (
   FROM places p JOIN segments s ON p.len = s.len AND p.i = s.i AND substring(p.form, p.at + 1, p.size) = s.piece
 ),
 near AS (
-  SELECT nome, referencia_id, weight, levenshtein(form, reference_form) AS distance, k,
+  SELECT nome, referencia_id, weight, levenshtein(form, reference_form, k) AS distance, k,
          -- exchanged letters count two edits but are one slip
          CASE WHEN array_sort(split(form, '')) = array_sort(split(reference_form, '')) THEN 1 ELSE 0 END AS exchanged,
          CASE WHEN left(form, 1) = left(reference_form, 1) THEN 0 ELSE 1 END AS other_initial
@@ -105,7 +105,9 @@ def map_values(values: DataFrame, id_col: str, name_col: str, references: DataFr
     own = values.selectExpr(f"`{id_col}` AS id", f"`{name_col}` AS nome")
     read = _READINGS.format(plain=plain_sql("nome"), parts=parts_sql("plain"), value_form=form_sql("part", short), bare_form=bare_form_sql("part"))
     readings = keep(spark.sql(read, names=own))
-    return spark.sql(_MATCH.format(edits=EDITS) + _ALL.format(), names=own, readings=readings, values=own, references=keep(references))
+    references = keep(references)
+    references.count(), readings.count()  # both are read by several branches at a time; filled once
+    return spark.sql(_MATCH.format(edits=EDITS) + _ALL.format(), names=own, readings=readings, values=own, references=references)
 
 
 def institution_forms(entries: DataFrame, short: Sequence[tuple[str, str]]) -> DataFrame:
