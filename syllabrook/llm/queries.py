@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import canonical, entities, near_duplicates, neighbours, pieces, scans
+from syllabrook.llm import canonical, containers, entities, near_duplicates, neighbours, pieces, scans, sentences
 from syllabrook.llm.name_forms import COURSE_SHORT, INSTITUTION_SHORT
 from syllabrook.sources.tables import once, table
 
@@ -114,8 +114,23 @@ def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text in containers of 2,048 tokens."""
+    return containers.containers(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The end of every sentence of every document."""
+    return sentences.sentences(table(spark, folder, "documents"), "doc_id", "text", spell=False).withColumnRenamed("id", "doc_id")
+
+
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text as its sentences."""
+    return sentences.sentences(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities, "p8_containers": p8_containers, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -230,7 +230,7 @@ class Splitter:
                 sentence = end
                 while sentence < stop and text[sentence].isspace():
                     sentence += 1
-                pos = end
+                pos = sentence  # past the blank that ended a Thai sentence, or it would be found again
             if n + 1 < len(lines) and sentence < b and sentence >= line_start and not any(o < b <= c for o, c in regions):
                 nxt = text[lines[n + 1][0] : lines[n + 1][1]].strip()
                 own_line = text[sentence:b].rstrip()
