@@ -3,8 +3,9 @@
 Method: shifted space-filling curves. Vectors are projected on a few principal directions, turned
 and shifted at random once per curve, and ordered along a Hilbert curve; Spark range-partitions
 each ordering, every row meets the rows of its key window there, and the curves' short lists are
-merged and cut to the best k. Rows with equal keys are spread by their id, so a hot key (copies)
-fills no single partition; windows have a fixed width, so such a group costs no more than others.
+merged and cut to the best k. Equal vectors are folded to one representative before that and unfolded
+after, so copies fill no windows. Rows with equal keys are ordered by a finer key within the cell, then
+at random, anew on each curve; windows have a fixed width, so a hot cell costs no more than others.
 
 Only the model of the directions is fitted on a bounded sample (``SAMPLE`` vectors); every vector is
 indexed. Components travel as 16-bit integers: a cosine is right to about 2e-5.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 8192
@@ -85,19 +86,37 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array, size: int) -> tuple[np.ndarra
     return (x[good] / norm[good, None]).astype(np.float32), fit[good]
 
 
-def _indexer(model: list, size: int, bits: int):
+def _packer(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, at = _unit_rows(batch.column(1), size)
             if not len(at):
                 continue
-            ids = batch.column(0).take(pa.array(at))
             packed = np.rint(x * SCALE).astype("<i2")
             q = pa.Array.from_buffers(pa.binary(size * 2), len(at), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), q], ["id", "q"])
+
+    return run
+
+
+def _unpacked(column: pa.Array, size: int) -> np.ndarray:
+    q = column.cast(pa.binary(size * 2))
+    x = np.frombuffer(q.buffers()[1], "<i2", count=(q.offset + len(q)) * size)[q.offset * size :].reshape(-1, size).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
+
+
+def _indexer(model: list, size: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _unpacked(batch.column(1), size)
             for curve, (way, offset) in enumerate(model):
-                cells = np.clip(((x @ way + offset) * (1 << bits)), 0, (1 << bits) - 1).astype(np.int64)
+                fine = np.clip(np.floor((x @ way + offset) * (1 << 2 * bits)), 0, (1 << 2 * bits) - 1).astype(np.int64)
+                keys = hilbert_keys(fine >> bits, bits), hilbert_keys(fine & ((1 << bits) - 1), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), curve, np.int32)), pa.array(hilbert_keys(cells, bits)), ids, q], ["curve", "key", "id", "q"]
+                    [pa.array(np.full(len(batch), curve, np.int32)), *map(pa.array, keys), batch.column(0), batch.column(1)], ["curve", "key", "fine", "id", "q"]
                 )
 
     return run
@@ -195,12 +214,8 @@ def _windows(size: int, window: int, k: int, least: float):
                 curve = value
                 at = np.flatnonzero(curves == value)
                 part = batch.slice(int(at[0]), len(at))
-                q = part.column(3).cast(pa.binary(size * 2))
-                raw = np.frombuffer(q.buffers()[1], "<i2", count=(q.offset + len(q)) * size)[q.offset * size :].reshape(-1, size)
-                v = raw.astype(np.float32)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                x = np.concatenate([x, v])
-                ids.append(np.asarray(part.column(2)))
+                x = np.concatenate([x, _unpacked(part.column(4), size)])
+                ids.append(np.asarray(part.column(3)))
                 count += len(at)
                 flush(False)
         flush(True)
@@ -229,21 +244,32 @@ def nearest(
         taken = taken.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0)
     sample, _ = _unit_rows(taken.select("v").limit(SAMPLE).toArrow().column(0).combine_chunks(), size)
     model = fit_curves(sample.astype(np.float64), curves, min(DIMS, size), seed)
-    indexed = data.mapInArrow(_indexer(model, size, BITS), "curve int, key long, id long, q binary")
+    packed = data.mapInArrow(_packer(size), "id long, q binary")
+    folded = packed.groupBy("q").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    indexed = folded.select("id", "q").mapInArrow(_indexer(model, size, BITS), "curve int, key long, fine long, id long, q binary")
     parts = max(1, -(-rows * curves // ROWS_PER_PARTITION))
-    ordered = indexed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    order = ("curve", "key", "fine", F.xxhash64("id", "curve"))
+    ordered = indexed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lists = ordered.mapInArrow(_windows(size, window, k, least), "id long, minus_sim array<double>, other array<long>")
     merged = lists.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("other", "minus_sim"))).alias("all"))
     # one entry per partner, then the best k: ties go to the smaller id
     by_other = F.array_sort("all")
     single = F.filter(F.col("sorted"), lambda x, i: (i == 0) | (F.get("sorted", i - 1)["other"] != x["other"]))
     best = F.slice(F.array_sort(F.transform(F.col("single"), lambda x: F.struct(x["minus_sim"].alias("minus_sim"), x["other"].alias("other")))), 1, k)
-    return (
-        merged.select("id", by_other.alias("sorted"))
-        .select("id", single.alias("single"))
-        .select("id", F.posexplode(best).alias("rank", "n"))
-        .select("id", (F.col("rank") + 1).alias("rank"), F.col("n.other").alias("other"), (-F.col("n.minus_sim")).alias("similarity"))
-    )
+    among = merged.select("id", by_other.alias("sorted")).select("id", single.alias("single")).select("id", F.inline(best))
+    # unfold: a partner stands for its k smallest copies at least, and copies are each other's partners at 1.0
+    digest = F.md5("q").alias("digest")
+    copies = packed.select("id", digest).join(folded.filter("n > 1").select(digest, F.col("id").alias("first")), "digest").select("id", "first")
+    number = F.row_number().over(Window.partitionBy("first").orderBy("id"))
+    few = copies.withColumn("number", number).filter(F.col("number") <= k + 1).select("first", F.col("id").alias("copy"))
+    partners = among.join(few.withColumnRenamed("first", "other"), "other", "left").select("id", "minus_sim", F.coalesce("copy", "other").alias("other"))
+    partners = partners.unionByName(few.select(F.col("first").alias("id"), F.lit(-1.0).alias("minus_sim"), F.col("copy").alias("other")))
+    nearest_first = F.slice(F.array_sort(F.collect_list(F.struct("minus_sim", "other"))), 1, k + 1)
+    best_of = partners.groupBy("id").agg(nearest_first.alias("best"))
+    rest = copies.filter("id != first")
+    each = best_of.unionByName(rest.join(best_of.withColumnRenamed("id", "first"), "first").select("id", "best"))
+    own = F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k)
+    return each.select("id", F.posexplode(own).alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), F.col("n.other").alias("other"), (-F.col("n.minus_sim")).alias("similarity"))
 
 
 def mutual_pairs(lists: DataFrame, least: float) -> DataFrame:
