@@ -13,17 +13,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from syllabrook.llm.name_forms import INSTITUTION_HEADS, bare_form_sql, form_sql, parts_sql, plain_sql
-from syllabrook.session import keep
+from syllabrook.llm.name_forms import INSTITUTION_HEADS, bare_form_sql, form_sql, part_steps, plain_steps
+from syllabrook.session import cut_lineage
 
-#: Edits allowed by the length of a reference form.
+#: Edits allowed by the length of a reference form. Forms of up to 5 letters are initialisms, which lie within one
+#: slip of each other (of 130 reference initialisms most have another at one edit), so they must be met exactly.
 EDITS = "CASE WHEN length(form) <= 5 THEN 0 WHEN length(form) <= 11 THEN 2 WHEN length(form) <= 19 THEN 3 ELSE 4 END"
 
 _READINGS = """
 SELECT DISTINCT nome, form, length(form) AS n FROM (
-  SELECT nome, explode(array({value_form}, {bare_form})) AS form FROM (
-    SELECT nome, explode({parts}) AS part FROM (SELECT nome, {plain} AS plain FROM (SELECT DISTINCT nome FROM {{names}} WHERE nome IS NOT NULL))
-  )
+  SELECT nome, explode(array({value_form}, {bare_form})) AS form FROM ({parts})
 ) WHERE form <> ''
 """
 
@@ -103,34 +102,33 @@ def map_values(values: DataFrame, id_col: str, name_col: str, references: DataFr
     """
     spark = values.sparkSession
     own = values.selectExpr(f"`{id_col}` AS id", f"`{name_col}` AS nome")
-    read = _READINGS.format(plain=plain_sql("nome"), parts=parts_sql("plain"), value_form=form_sql("part", short), bare_form=bare_form_sql("part"))
-    readings = keep(spark.sql(read, names=own))
-    references = keep(references)
-    references.count(), readings.count()  # both are read by several branches at a time; filled once
+    names = "(SELECT DISTINCT nome FROM {names} WHERE nome IS NOT NULL)"
+    read = _READINGS.format(parts=part_steps(plain_steps(names, "nome", "nome"), "nome"), value_form=form_sql("part", short), bare_form=bare_form_sql("part"))
+    # both are read by several branches; written once, they also keep the plan of the match short
+    readings, references = cut_lineage(spark.sql(read, names=own)), cut_lineage(references)
     return spark.sql(_MATCH.format(edits=EDITS) + _ALL.format(), names=own, readings=readings, values=own, references=references)
 
 
-def institution_forms(entries: DataFrame, short: Sequence[tuple[str, str]]) -> DataFrame:
-    """Forms under which an institution is looked up: its name, its initials, its name with the leading nouns shortened or without the first."""
-    full = form_sql(plain_sql("nome"), short)
-    heads = " ".join(f"UNION ALL SELECT referencia_id, regexp_replace({full}, '^{long}', '{head}'), 3 FROM {{entries}} WHERE {full} LIKE '{long}%'" for long, some in INSTITUTION_HEADS for head in some)
+def _forms(entries: DataFrame, full: str, others: str, columns: str = "") -> DataFrame:
+    """(referencia_id, form, weight) of a reference list: its ``full`` form at weight 0 and ``others``, from one scan."""
+    plain = plain_steps("{entries}", "nome", "referencia_id", *columns.split())
     sql = f"""
-    SELECT referencia_id, form, min(weight) AS weight FROM (
-      SELECT referencia_id, {full} AS form, 0 AS weight FROM {{entries}} {heads}
-      UNION ALL SELECT referencia_id, regexp_replace({plain_sql("sigla")}, '[^a-z0-9]', ''), 1 FROM {{entries}}
-      UNION ALL SELECT referencia_id, regexp_replace({full}, '^universidade(?=federal|estadual)', ''), 2 FROM {{entries}}
-    ) WHERE form IS NOT NULL GROUP BY referencia_id, form
+    SELECT referencia_id, form.form AS form, min(form.weight) AS weight FROM (
+      SELECT referencia_id, explode(array(struct(full AS form, 0 AS weight), {others})) AS form FROM (
+        SELECT {full} AS full, * FROM ({plain})
+      )
+    ) WHERE form.form IS NOT NULL GROUP BY referencia_id, form.form
     """
     return entries.sparkSession.sql(sql, entries=entries)
 
 
+def institution_forms(entries: DataFrame, short: Sequence[tuple[str, str]]) -> DataFrame:
+    """Forms under which an institution is looked up: its name, its initials, its name with the leading nouns shortened or without the first."""
+    heads = ", ".join(f"struct(CASE WHEN full LIKE '{long}%' THEN regexp_replace(full, '^{long}', '{head}') END AS form, 3 AS weight)" for long, some in INSTITUTION_HEADS for head in some)
+    sigla = "struct(regexp_replace(translate(lower(sigla), 'áàâãäéèêëíìîïóòôõöúùûüç', 'aaaaaeeeeiiiiooooouuuuc'), '[^a-z0-9]', '') AS form, 1 AS weight)"
+    return _forms(entries, form_sql("plain", short), f"{heads}, {sigla}, struct(regexp_replace(full, '^universidade(?=federal|estadual)', '') AS form, 2 AS weight)", "sigla")
+
+
 def course_forms(entries: DataFrame, short: Sequence[tuple[str, str]]) -> DataFrame:
     """Forms under which a course of study is looked up: its name, and what follows ``Ciências``."""
-    full = form_sql(plain_sql("nome"), short)
-    sql = f"""
-    SELECT referencia_id, form, min(weight) AS weight FROM (
-      SELECT referencia_id, {full} AS form, 0 AS weight FROM {{entries}}
-      UNION ALL SELECT referencia_id, regexp_replace({full}, '^ciencias', ''), 2 FROM {{entries}}
-    ) WHERE form IS NOT NULL GROUP BY referencia_id, form
-    """
-    return entries.sparkSession.sql(sql, entries=entries)
+    return _forms(entries, form_sql("plain", short), "struct(regexp_replace(full, '^ciencias', '') AS form, 2 AS weight)")

@@ -54,23 +54,31 @@ def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def plain_sql(column: str) -> str:
-    """Lower case, mojibake undone, no diacritics, dotted initials closed up, any white space as one blank."""
-    low = f"translate(replace(lower({column}), 'â€“', ' - '), '–—', '--')"
+def plain_steps(source: str, column: str, *others: str) -> str:
+    """A query over ``source`` that adds ``plain``: lower case, mojibake undone, no diacritics, dotted initials closed up, any white space as one blank.
+
+    Each step is a subquery with a column of its own, so that no expression is written twice and plans stay short.
+    """
+    keep = "".join(f"{c}, " for c in others)
+    low = f"SELECT {keep}translate(replace(lower({column}), 'â€“', ' - '), '–—', '--') AS low FROM {source}"
     broken = f"ã(?=[{SECOND}])"
-    x = f"CASE WHEN {low} RLIKE {_quote(broken)} THEN translate(regexp_replace({low}, {_quote(broken)}, ''), {_quote(SECOND)}, {_quote(SECOND_PLAIN)}) ELSE {low} END"
-    x = f"translate({x}, {_quote(ACCENTED + 'ªº')}, {_quote(PLAIN + 'ao')})"
+    whole = f"SELECT {keep}CASE WHEN low RLIKE {_quote(broken)} THEN translate(regexp_replace(low, {_quote(broken)}, ''), {_quote(SECOND)}, {_quote(SECOND_PLAIN)}) ELSE low END AS low FROM ({low})"
+    x = f"translate(low, {_quote(ACCENTED + 'ªº')}, {_quote(PLAIN + 'ao')})"
     x = f"regexp_replace({x}, {_quote(r'(?U)\\s+')}, ' ')".replace("\\\\\\\\", "\\\\")
     x = f"regexp_replace({x}, {_quote(chr(92) + 'b([a-z])[.](?=[a-z])')}, '$1')"
-    return f"trim(regexp_replace({x}, {_quote('[.]([a-z])' + chr(92) + 'b(?![.])')}, '$1'))"
+    return f"SELECT {keep}trim(regexp_replace({x}, {_quote('[.]([a-z])' + chr(92) + 'b(?![.])')}, '$1')) AS plain FROM ({whole})"
+
 
+def part_steps(source: str, *others: str) -> str:
+    """A query over ``source`` (with ``plain``) that gives one row for each way to read a plain name, as ``part``.
 
-def parts_sql(plain: str) -> str:
-    """The ways to read a plain name: without bracketed notes, each part between dashes and slashes, parts around a comma swapped, initials before a dash dropped."""
-    noted = f"regexp_replace(regexp_replace({plain}, {_quote(chr(92) + '([^)]*' + chr(92) + ')')}, ' '), {_quote(chr(92) + 'bs/c' + chr(92) + 'b')}, ' ')"
-    split = f"split({noted}, {_quote(' - |[/|;]')})"
-    swapped = f"transform({split}, p -> CASE WHEN p LIKE '%,%' THEN concat(substring_index(p, ',', -1), ' ', substring_index(p, ',', 1)) ELSE p END)"
-    return f"array_distinct(concat(array({noted}), {split}, {swapped}))"
+    The ways: without bracketed notes, each part between dashes and slashes, parts around a comma swapped.
+    """
+    keep = "".join(f"{c}, " for c in others)
+    noted = f"SELECT {keep}regexp_replace(regexp_replace(plain, {_quote(chr(92) + '([^)]*' + chr(92) + ')')}, ' '), {_quote(chr(92) + 'bs/c' + chr(92) + 'b')}, ' ') AS noted FROM ({source})"
+    split = f"SELECT {keep}noted, split(noted, {_quote(' - |[/|;]')}) AS pieces FROM ({noted})"
+    swapped = "transform(pieces, p -> CASE WHEN p LIKE '%,%' THEN concat(substring_index(p, ',', -1), ' ', substring_index(p, ',', 1)) ELSE p END)"
+    return f"SELECT {keep}explode(array_distinct(concat(array(noted), pieces, {swapped}))) AS part FROM ({split})"
 
 
 def bare_form_sql(part: str) -> str:

@@ -72,32 +72,34 @@ def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired(_fields(spark, folder)).withColumnRenamed("key", "registro_id")
 
 
+def _mapped(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    forms, short = {"instituicao": (canonical.institution_forms, INSTITUTION_SHORT), "curso": (canonical.course_forms, COURSE_SHORT)}[name]
+    return canonical.map_values(table(spark, folder, name), f"{name}_id", "nome", forms(table(spark, folder, f"{name}_referencia"), short), short)
+
+
 def p6_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """Every institution and course of study with its reference entry, -1 where there is none."""
-    out = []
-    for name, forms, short in (("instituicao", canonical.institution_forms, INSTITUTION_SHORT), ("curso", canonical.course_forms, COURSE_SHORT)):
-        references = forms(table(spark, folder, f"{name}_referencia"), short)
-        mapped = canonical.map_values(table(spark, folder, name), f"{name}_id", "nome", references, short)
-        out.append(mapped.select(F.lit(name).alias("tabela"), "id", "referencia_id"))
-    return out[0].unionByName(out[1])
+    sql = "SELECT 'instituicao' AS tabela, id, referencia_id FROM {a} UNION ALL SELECT 'curso' AS tabela, id, referencia_id FROM {b}"
+    return spark.sql(sql, a=_mapped(spark, folder, "instituicao"), b=_mapped(spark, folder, "curso"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The same for the rows whose name is not letter for letter in the reference list."""
-    typed = []
-    for name in ("instituicao", "curso"):
-        rows = table(spark, folder, name)
-        odd = rows.join(table(spark, folder, f"{name}_referencia").select("nome").distinct(), "nome", "left_anti")
-        typed.append(odd.select(F.lit(name).alias("tabela"), F.col(f"{name}_id").alias("id")))
-    return p6_mapped(spark, folder).join(typed[0].unionByName(typed[1]), ["tabela", "id"], "left_semi")
+    odd = """SELECT '{name}' AS tabela, m.id, m.referencia_id FROM {{mapped}} m LEFT SEMI JOIN (
+      SELECT {name}_id AS id FROM {{typed}} t WHERE NOT EXISTS (SELECT 1 FROM {{listed}} r WHERE r.nome = t.nome)
+    ) o ON m.id = o.id"""
+    a, b = (
+        spark.sql(odd.format(name=name), mapped=_mapped(spark, folder, name), typed=table(spark, folder, name), listed=table(spark, folder, f"{name}_referencia"))
+        for name in ("instituicao", "curso")
+    )
+    return spark.sql("SELECT * FROM {a} UNION ALL SELECT * FROM {b}", a=a, b=b)
 
 
 def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Entities of course units within their institution, and of institutions that the reference list lacks."""
     units = entities.link(table(spark, folder, "disciplina"), "disciplina_id", "nome", "instituicao_id", entities.course_units, established=True)
     rows = table(spark, folder, "instituicao")
-    references = canonical.institution_forms(table(spark, folder, "instituicao_referencia"), INSTITUTION_SHORT)
-    unlisted = canonical.map_values(rows, "instituicao_id", "nome", references, INSTITUTION_SHORT).filter("referencia_id = -1")
+    unlisted = _mapped(spark, folder, "instituicao").filter("referencia_id = -1")
     other = rows.join(unlisted.select(F.col("id").alias("instituicao_id")), "instituicao_id", "left_semi")
     return units, entities.link(other, "instituicao_id", "nome", None, entities.institutions, established=False)
 
