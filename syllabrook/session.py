@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,17 +31,37 @@ def local_session(cores: str | int = "*", app: str = "syllabrook", **conf: str)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``; only on one machine (``local`` masters), where that is unset, a temporary one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="syllabrook-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def _remove(context: SparkContext, path: str) -> None:
+    """Delete a written table at the end of the program, if its session still runs."""
+    if context._jsc is not None:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used. Survives the loss of executors.
+    Survives the loss of executors. A table read back has its real size, while a checkpoint carries the
+    estimated size of its whole past, which multiplies with every join: rounds that follow each other
+    spend more and more time on it. Tables are deleted at the end of the program.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="syllabrook-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/syllabrook-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark.sparkContext, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
