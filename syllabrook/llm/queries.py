@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabrook.llm import canonical, containers, entities, near_duplicates, neighbours, pieces, scans, sentences
+from syllabrook.llm import canonical, containers, entities, mixture, near_duplicates, neighbours, pieces, scans, sentences
 from syllabrook.llm.name_forms import COURSE_SHORT, INSTITUTION_SHORT
 from syllabrook.sources.tables import once, table
 
@@ -121,6 +121,18 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers.containers(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture with the times each is used, and the share its source reaches beside the one wanted."""
+    mixed = mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mistura_alvo"))
+    shares = mixed.shares.select("fonte", "peso", "alcancado")
+    return mixed.documents.join(F.broadcast(shares.filter("peso > 0")), "fonte", "left").select(F.col("id").alias("doc_id"), "fonte", "prevista", "peso", "alcancado", "tokens", "repeticoes", "texto")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares wanted and really reached of every source, and how its documents are used."""
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mistura_alvo")).shares
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The end of every sentence of every document."""
     return sentences.sentences(table(spark, folder, "documents"), "doc_id", "text", spell=False).withColumnRenamed("id", "doc_id")
@@ -132,7 +144,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities, "p8_containers": p8_containers, "p10_found": p10_found, "p10_sentences": p10_sentences}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 
 
 def oracle_sql() -> dict[str, str]:
