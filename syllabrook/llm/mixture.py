@@ -185,13 +185,17 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     rated = sized.mapInPandas(rate, "id long, source string, p array<double>, tokens long, g int, cap double, rate double")
     rated = rated.withColumn("whole", F.floor(F.col("rate") + 1e-6)).withColumn("rest", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     rated = rated.withColumn("v", F.when(F.col("rest") > 1e-6, _hash(F.col("id")) / F.col("rest")))
+    # documents without a source are decided one by one; what they miss or exceed, the others of each domain make up for
+    lone = F.when(F.col("source").isNull(), F.when(F.col("v") < 1, 1).otherwise(0))
+    missed = rated.filter("source is null").select(F.posexplode("p").alias("d", "part"), ((F.col("rest") - lone) * F.col("tokens")).alias("t"))
+    missed = {r["d"]: r["t"] for r in missed.groupBy("d").agg(F.sum(F.col("part") * F.col("t")).alias("t")).collect()}  # one row a domain
     # tokens by domain and cell: at most domains * CELLS rows
-    cell = F.least(F.lit(CELLS - 1), F.floor(F.col("v") * (CELLS / 2))).cast("int")
-    histogram = rated.filter("v is not null").groupBy("g", cell.alias("cell")).agg(F.sum("tokens").alias("t"), F.sum(F.col("rest") * F.col("tokens")).alias("want")).collect()
+    cell = F.floor(F.col("v") / (1 + F.col("v")) * CELLS).cast("int")
+    histogram = rated.filter("v is not null and source is not null").groupBy("g", cell.alias("cell")).agg(F.sum("tokens").alias("t"), F.sum(F.col("rest") * F.col("tokens")).alias("want")).collect()
     once_more = []
     for g in range(other + 1):
         cells = sorted((r["cell"], r["t"], r["want"]) for r in histogram if r["g"] == g)
-        want, above = sum(w for _, _, w in cells), 0.0
+        want, above = sum(w for _, _, w in cells) + missed.get(g, 0.0), 0.0
         # cells in order of their hash, then those that still fit
         for c, t, _ in cells:
             if abs(above + t - want) < abs(above - want):
@@ -199,7 +203,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
                 once_more.append((g, c))
     cells = spark.createDataFrame(once_more, "g int, cell int").withColumn("more", F.lit(1))
     rated = rated.withColumn("cell", cell).join(F.broadcast(cells), ["g", "cell"], "left")
-    used = rated.withColumn("repeticoes", (F.col("whole") + F.when(F.col("v").isNotNull(), F.coalesce("more", F.lit(0))).otherwise(0)).cast("int"))
+    used = rated.withColumn("repeticoes", (F.col("whole") + F.coalesce(lone, F.when(F.col("v").isNotNull(), F.col("more")), F.lit(0))).cast("int"))
     used = cut_lineage(used.select("id", "source", "p", "g", "tokens", "rate", "repeticoes"))
 
     name = F.get(F.array(*(F.lit(d) for d in domains), F.lit(None).cast("string")), F.col("g"))
