@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from syllabrook.plans import amounts, catalog, matching
+from syllabrook.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from syllabrook.plans import amounts
-
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (catalog, matching)
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": amounts.p3_found, "p3_minutes": amounts.p3_minutes}
+    out: dict[str, Query] = {"p3_found": amounts.p3_found, "p3_minutes": amounts.p3_minutes}
+    for m in _MODULES:
+        out |= m.registry.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in _MODULES:
+        out |= m.registry.sql
+    return out
