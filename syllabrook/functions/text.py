@@ -117,7 +117,7 @@ def base_name(c: Column | str) -> Column:
 def course_name(c: Column | str) -> Column:
     """A course name up to a label that follows it on the line, without outer marks."""
     t = F.get(F.split(c, r"(?iu)\b(?:carga\s+hor[aá]ria|per[ií]odo\s+letivo|docente|professor|turmas?)\s*:"), 0)
-    return F.trim(F.lit(" |:–-"), F.regexp_replace(t, r"(?i)\s+turmas?\s*$", ""))
+    return F.trim(F.regexp_replace(t, r"(?i)\s+turmas?\s*$", ""), F.lit(" |:–-"))
 
 
 def without_bullets(c: Column | str) -> Column:
@@ -177,10 +177,10 @@ def section_header(c: Column) -> Column:
     """
     labels = F.create_map(*(F.lit(x) for field, names in SECTIONS.items() for name in names for x in (name, field)))
     line = F.regexp_replace(F.regexp_replace(c, r"^\s*(?:\d+(?:\.\d+)*(?:\s*[.\-–):]\s*|\s+))", ""), r"^\s+|\s+$", "")
-    key = F.trim(F.lit(" :;()."), comparison_key(line))
+    key = F.trim(comparison_key(line), F.lit(" :;()."))
     halved = F.regexp_replace(key, r"(.)\1", "$1")
     doubled = (F.length(key) % 2 == 0) & (F.length(halved) * 2 == F.length(key))
-    before = F.trim(F.lit(" ()"), comparison_key(F.substring_index(line, ":", 1)))
+    before = F.trim(comparison_key(F.substring_index(line, ":", 1)), F.lit(" ()"))
     after = _strip(F.regexp_replace(line, r"^[^:]*:", ""))
     whole = F.coalesce(F.when(doubled, labels[halved]), labels[key])
     return F.when(whole.isNotNull(), F.struct(whole.alias("campo"), F.lit("").alias("valor"))).when(

@@ -46,7 +46,7 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     value = F.try_divide(dot, norm(a) * norm(b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when((F.size(a) == F.size(b)) & value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def normalized(v: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from syllabrook.plans import amounts, catalog, matching
+from syllabrook.plans import amounts, catalog, documents, matching, records, stateful
 from syllabrook.plans.registry import Query
 
-_MODULES = (catalog, matching)
+_MODULES = (catalog, matching, records, documents, stateful)
 
 
 def queries() -> dict[str, Query]:
