@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from syllabrook.session import cut_lineage
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Every node of an edge list with the smallest node of its component: (node, root).
 
     Alternates large-star and small-star steps; the number of edges never grows, each step is two
     aggregations with map-side combine, and a component of any size is never gathered in one task.
-    Lineage is cut after each round. Self loops and repeated edges do no harm; null ends are dropped;
+    Rounds go on until one changes nothing; lineage is cut after each. Self loops and repeated edges do no harm; null ends are dropped;
     an empty edge list gives an empty result.
     """
     links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     links = cut_lineage(links)
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node hangs on the smallest of node and neighbours
         both = links.union(links.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
