@@ -3,9 +3,11 @@
 Method: shifted space-filling curves. Vectors are projected on a few principal directions, turned
 and shifted at random once per curve, and ordered along a Hilbert curve; Spark range-partitions
 each ordering, every row meets the rows of its key window there, and the curves' short lists are
-merged and cut to the best k. Equal vectors are folded to one representative before that and unfolded
-after, so copies fill no windows. Rows with equal keys are ordered by a finer key within the cell, then
-at random, anew on each curve; windows have a fixed width, so a hot cell costs no more than others.
+merged and cut to the best k. Where a range ends, its last rows and the first of the next range meet in
+a step of their own, so every window is whole. Equal vectors are folded to one representative before
+that and unfolded after, so copies fill no windows. Rows with equal keys are ordered by a finer key
+within the cell, then at random, anew on each curve; windows have a fixed width, so a hot cell costs no
+more than others.
 
 Only the model of the directions is fitted on a bounded sample (``SAMPLE`` vectors); every vector is
 indexed. Components travel as 16-bit integers: a cosine is right to about 2e-5.
@@ -17,11 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from syllabrook.session import cut_lineage
+
 SAMPLE = 8192
 DIMS, BITS = 12, 5
+#: Orderings and rows of a window on either side, for all uses.
+CURVES, WINDOW = 6, 4096
 ROWS_PER_PARTITION = 131_072
 SCALE = 32_767
 
@@ -174,25 +181,87 @@ def _window_pairs(x: np.ndarray, start: int, stop: int, window: int, least: floa
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
 
 
+def _lists(ids: np.ndarray, best: _Best) -> Iterator[pa.RecordBatch]:
+    """The best partners of each row as batches (id, minus_sim, other)."""
+    row, other, sim = best.shrink()
+    keys, first = np.unique(row, return_index=True)
+    for at in range(0, len(keys), 8192):
+        lo = first[at]
+        hi = first[at + 8192] if at + 8192 < len(keys) else len(row)
+        offsets = pa.array(np.append(first[at : at + 8192], hi) - lo, pa.int32())
+        near = pa.ListArray.from_arrays(offsets, pa.array(np.clip(-np.round(sim[lo:hi].astype(np.float64), 6), -1, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keys[at : at + 8192]]), near, pa.ListArray.from_arrays(offsets, pa.array(ids[other[lo:hi]]))], ["id", "minus_sim", "other"])
+
+
+def _ends(window: int):
+    """The first and last ``window`` rows of each curve in a range, with the number of the seam they lie at and their place from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        head: dict[int, int] = {}
+        tail: list[pa.RecordBatch] = []
+
+        def shown(batch: pa.RecordBatch, seam: int, place: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), seam, np.int32)), batch.column(0), pa.array(place.astype(np.int32)), batch.column(3), batch.column(4)], ["seam", "curve", "place", "id", "q"])
+
+        for batch in batches:
+            curves = np.asarray(batch.column(0))
+            for curve in np.unique(curves):
+                own = batch.filter(pa.array(curves == curve))
+                seen = head.get(int(curve), 0)
+                if part > 0 and seen < window:
+                    first = own.slice(0, window - seen)
+                    yield shown(first, part - 1, seen + 1 + np.arange(len(first)))
+                head[int(curve)] = seen + len(own)
+            tail.append(batch)
+            while len(tail) > 1 and sum(map(len, tail[1:])) >= window:
+                tail.pop(0)
+        rest = pa.Table.from_batches(tail).combine_chunks().to_batches() if tail else []
+        for batch in rest:
+            last = batch.slice(max(0, len(batch) - window))
+            last = last.filter(pa.array(np.asarray(last.column(0)) == np.asarray(last.column(0))[-1]))
+            yield shown(last, part, np.arange(-len(last) + 1, 1))
+
+    return run
+
+
+def _seams(size: int, window: int, k: int, least: float):
+    """Pairs across a seam that lie within ``window`` rows of each other; a group holds at most two windows of a curve."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks()
+        curve, place = np.asarray(batch.column("curve")), np.asarray(batch.column("place"))
+        ids, x = np.asarray(batch.column("id")), _unpacked(batch.column("q").combine_chunks(), size)
+        best = _Best(k)
+        for c in np.unique(curve):
+            own = np.flatnonzero(curve == c)
+            before, after = own[place[own] <= 0], own[place[own] > 0]
+            for at in range(0, len(before), 512):
+                if not len(after):
+                    break
+                rows = before[at : at + 512]
+                s = x[rows] @ x[after].T
+                s[place[after][None, :] - place[rows][:, None] > window] = -2
+                r, n = np.nonzero(s >= max(least, -1.5))
+                if least <= -1:  # only the best of each row and of each column can be in a list
+                    top = min(k, s.shape[1])
+                    bound_r = -np.partition(-s, top - 1, axis=1)[:, top - 1]
+                    low = min(k, s.shape[0])
+                    bound_c = -np.partition(-s, low - 1, axis=0)[low - 1]
+                    good = (s[r, n] >= bound_r[r]) | (s[r, n] >= bound_c[n])
+                    r, n = r[good], n[good]
+                v = s[r, n]
+                best.add(np.concatenate([rows[r], after[n]]), np.concatenate([after[n], rows[r]]), np.concatenate([v, v]))
+        out = list(_lists(ids, best))
+        schema = pa.schema([("id", pa.int64()), ("minus_sim", pa.list_(pa.float64())), ("other", pa.list_(pa.int64()))])
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in out], schema)
+
+    return run
+
+
 def _windows(size: int, window: int, k: int, least: float):
     block = max(4096, window)
 
-    def lists(ids: np.ndarray, best: _Best) -> Iterator[pa.RecordBatch]:
-        row, other, sim = best.shrink()
-        keys, first = np.unique(row, return_index=True)
-        for at in range(0, len(keys), 8192):
-            lo = first[at]
-            hi = first[at + 8192] if at + 8192 < len(keys) else len(row)
-            offsets = pa.array(np.append(first[at : at + 8192], hi) - lo, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[keys[at : at + 8192]]),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.clip(-np.round(sim[lo:hi].astype(np.float64), 6), -1, 1))),
-                    pa.ListArray.from_arrays(offsets, pa.array(ids[other[lo:hi]])),
-                ],
-                ["id", "minus_sim", "other"],
-            )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ids of the partition stay; of the vectors only a block and the window after it are held
         ids, base, x, best, curve = [], 0, np.zeros((0, size), np.float32), _Best(k), None
@@ -220,14 +289,12 @@ def _windows(size: int, window: int, k: int, least: float):
                 flush(False)
         flush(True)
         if count:
-            yield from lists(np.concatenate(ids), best)
+            yield from _lists(np.concatenate(ids), best)
 
     return run
 
 
-def nearest(
-    vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, size: int = 64, curves: int = 10, window: int = 2048, least: float = -1.0, seed: int = 7, keep_lists: int | None = None
-) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, size: int = 64, curves: int = CURVES, window: int = WINDOW, least: float = -1.0, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other vectors of each vector: (id, rank, other, similarity).
 
     Vectors that are null, of another length, all zero or not finite take no part (no rows). Equal
@@ -245,12 +312,19 @@ def nearest(
     sample, _ = _unit_rows(taken.select("v").limit(SAMPLE).toArrow().column(0).combine_chunks(), size)
     model = fit_curves(sample.astype(np.float64), curves, min(DIMS, size), seed)
     packed = data.mapInArrow(_packer(size), "id long, q binary")
-    folded = packed.groupBy("q").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    indexed = folded.select("id", "q").mapInArrow(_indexer(model, size, BITS), "curve int, key long, fine long, id long, q binary")
+    # classes of equal vectors by their digests; a vector itself is shuffled for them only if there are very many copies
+    digests = packed.select("id", F.md5("q").alias("digest"))
+    classes = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    copies = cut_lineage(digests.join(classes, "digest").select("id", "first"))
+    indexed = packed.join(copies.filter("id != first").select("id"), "id", "left_anti").mapInArrow(_indexer(model, size, BITS), "curve int, key long, fine long, id long, q binary")
     parts = max(1, -(-rows * curves // ROWS_PER_PARTITION))
     order = ("curve", "key", "fine", F.xxhash64("id", "curve"))
     ordered = indexed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    lists = ordered.mapInArrow(_windows(size, window, k, least), "id long, minus_sim array<double>, other array<long>")
+    schema = "id long, minus_sim array<double>, other array<long>"
+    lists = ordered.mapInArrow(_windows(size, window, k, least), schema)
+    if parts > 1:
+        ends = ordered.mapInArrow(_ends(window), "seam int, curve int, place int, id long, q binary")
+        lists = lists.unionByName(ends.groupBy("seam").applyInArrow(_seams(size, window, k, least), schema))
     merged = lists.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("other", "minus_sim"))).alias("all"))
     # one entry per partner, then the best k: ties go to the smaller id
     by_other = F.array_sort("all")
@@ -258,8 +332,6 @@ def nearest(
     best = F.slice(F.array_sort(F.transform(F.col("single"), lambda x: F.struct(x["minus_sim"].alias("minus_sim"), x["other"].alias("other")))), 1, k)
     among = merged.select("id", by_other.alias("sorted")).select("id", single.alias("single")).select("id", F.inline(best))
     # unfold: a partner stands for its k smallest copies at least, and copies are each other's partners at 1.0
-    digest = F.md5("q").alias("digest")
-    copies = packed.select("id", digest).join(folded.filter("n > 1").select(digest, F.col("id").alias("first")), "digest").select("id", "first")
     number = F.row_number().over(Window.partitionBy("first").orderBy("id"))
     few = copies.withColumn("number", number).filter(F.col("number") <= k + 1).select("first", F.col("id").alias("copy"))
     partners = among.join(few.withColumnRenamed("first", "other"), "other", "left").select("id", "minus_sim", F.coalesce("copy", "other").alias("other"))

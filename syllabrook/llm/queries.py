@@ -44,14 +44,14 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks at cosine 0.85 or more of which one is among the other's five most similar."""
     vectors = table(spark, folder, "representacao_vetorial")
-    lists = neighbours.nearest(vectors, "trecho_id", "vetor", k=5, curves=6, window=1024, least=0.8499)
+    lists = neighbours.nearest(vectors, "trecho_id", "vetor", k=5, least=0.8499)
     return neighbours.mutual_pairs(lists, 0.85).select(F.col("id_a").alias("trecho_id_a"), F.col("id_b").alias("trecho_id_b"))
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar other chunks of every chunk with a vector."""
     vectors = table(spark, folder, "representacao_vetorial")
-    lists = neighbours.nearest(vectors, "trecho_id", "vetor", k=5, curves=12, window=2048)
+    lists = neighbours.nearest(vectors, "trecho_id", "vetor", k=5)
     return lists.select(F.col("id").alias("trecho_id"), F.col("rank").alias("posicao"), F.col("other").alias("vizinho_id"), F.round("similarity", 4).alias("similaridade"))
 
 
