@@ -1,11 +1,12 @@
 """Amounts recorded in different units, converted to common minutes.
 
-The unit of an amount is looked for where it may be stated: in the unit field in any spelling, with
-the amount in a raw text cell, with the amount in running text. Amounts whose unit is stated nowhere
-are given to a calibrated tree ensemble: a random forest on magnitude, source, category and the
-neighbouring fields, fitted on at most ``TRAIN_ROWS`` rows with a stated unit; its confidence is
-calibrated by isotonic regression on held-out rows. Amounts with a calibrated confidence of
-``CONFIDENT`` or more are converted, the others come out for review without minutes.
+Every amount is given to a calibrated tree ensemble: a random forest on magnitude, source, category and
+the neighbouring fields, among them what the unit field, the raw text cell and the running text seem to
+say. It is fitted on at most ``TRAIN_ROWS`` rows with a stated unit, half of them with those readings
+hidden, and its confidence is calibrated by isotonic regression on held-out rows whose readings are
+hidden, as they are where no unit is stated. An exact check follows: a unit that is stated stands,
+whatever was predicted. Other amounts with a calibrated confidence of ``CONFIDENT`` or more are
+converted, the rest come out for review without minutes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syllabrook.functions.text import unaccent
+from syllabrook.session import cut_lineage
+from syllabrook.sources.tables import once
 
 TRAIN_ROWS = 20_000
 CONFIDENT = 0.9
@@ -104,8 +107,10 @@ def stated_units(records: DataFrame, amounts: tuple[str, ...] = ("total", "teori
     base = records.select("*", number.alias("_cell"), cell_unit.alias("_cell_unit"), unit_of(F.col("carga_horaria.unidade")).alias("_unit"))
     total = F.coalesce("carga_horaria.total", "_cell")
     base = base.select("*", total.alias("_total"))
-    needs = F.col("_unit").isNull() & F.col("_cell_unit").isNull() & F.col("_total").isNotNull() & F.col("ementa").isNotNull()
-    base = base.select("*", F.when(needs, running_unit(F.col("ementa"), F.col("_total"))).alias("_running"))
+    # a record that only has a theoretical amount may state the unit with that
+    shown = F.coalesce("_total", "carga_horaria.teorica")
+    needs = F.col("_unit").isNull() & F.col("_cell_unit").isNull() & shown.isNotNull() & F.col("ementa").isNotNull()
+    base = base.select("*", F.when(needs, running_unit(F.col("ementa"), shown)).alias("_running"))
     where = F.when(F.col("_unit").isNotNull(), "unidade").when(F.col("_cell_unit").isNotNull(), "texto").when(F.col("_running").isNotNull(), "ementa")
     return base.select("*", F.coalesce("_unit", "_cell_unit", "_running").alias("unidade_comum"), where.alias("onde"))
 
@@ -124,13 +129,15 @@ def _features(stated: DataFrame) -> DataFrame:
         F.when(t != 0, F.coalesce(practice, F.lit(-1.0)) / t).otherwise(-1.0).alias("share_practice"),
         practice.isNull().cast("double").alias("no_practice"),
         F.coalesce(F.size("paginas_origem"), F.lit(0)).cast("double").alias("pages"),
-        F.log1p(F.coalesce(F.length("ementa"), F.lit(0)).cast("double")).alias("words"),
+        F.log1p(F.coalesce("_size", F.lit(0)).cast("double")).alias("words"),
         F.pmod(F.xxhash64(F.regexp_replace(unaccent(F.coalesce("instituicao", F.lit(""))), "[^a-z]", "")), F.lit(BUCKETS)).alias("source_bucket"),
         F.pmod(F.xxhash64(F.coalesce("matriz_codigo", F.lit("")), F.lit(1)), F.lit(BUCKETS)).alias("category_bucket"),
+        *((F.coalesce(F.col("unidade_comum") == c, F.lit(False))).cast("double").alias(f"reads_{c}") for c in CODES),
     )
 
 
-_NUMERIC = ["magnitude", "fraction", "d15", "d17", "d18", "d20", "d45", "d50", "share_theory", "share_practice", "no_practice", "pages", "words"]
+_READS = [f"reads_{c}" for c in CODES]
+_NUMERIC = ["magnitude", "fraction", "d15", "d17", "d18", "d20", "d45", "d50", "share_theory", "share_practice", "no_practice", "pages", "words", *_READS]
 
 
 def _with_shares(rows: DataFrame, bucket: str, shares: dict[int, list[float]], prior: list[float]) -> DataFrame:
@@ -150,8 +157,9 @@ def _isotonic(confidence: np.ndarray, right: np.ndarray) -> list[tuple[float, fl
             _, r2, n2 = blocks.pop()
             blocks[-1][1] += r2
             blocks[-1][2] += n2
-    # one success and one failure are added to each block, so a block of a few rows gives no certainty
-    return [(c, (r + 1) / (n + 2)) for c, r, n in blocks]
+    # one success and one failure are added to each block, so a block of a few rows gives no certainty; never falling
+    values = np.maximum.accumulate([(r + 1) / (n + 2) for _, r, n in blocks]) if blocks else []
+    return [(b[0], float(v)) for b, v in zip(blocks, values, strict=True)]
 
 
 class UnitModel:
@@ -181,59 +189,65 @@ class UnitModel:
 
 def fit(stated: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> UnitModel | None:
     """Fit on at most ``rows`` records with a stated unit, a third of them held out for calibration; None without two units."""
-    known = _features(stated).filter("unidade_comum is not null and _total is not null")
-    order = F.xxhash64("registro_id", F.lit(seed))
-    train = known.select("registro_id", "unidade_comum", "source_bucket", "category_bucket", *_NUMERIC, order.alias("_order")).orderBy("_order", "registro_id").limit(rows)
-    train = train.withColumn("label", F.array_position(F.array(*(F.lit(c) for c in CODES)), F.col("unidade_comum")).cast("double") - 1).withColumn("held", F.pmod("_order", F.lit(3)) == 0).repartition(4, "registro_id").persist()
-    try:
-        counts = np.zeros(len(CODES))
-        tables: dict[str, dict[int, list[float]]] = {}
-        for bucket in ("source_bucket", "category_bucket"):
-            seen: dict[int, np.ndarray] = {}
-            for r in train.filter("not held").groupBy(bucket, "label").count().collect():  # at most BUCKETS * units rows
-                seen.setdefault(int(r[0]), np.zeros(len(CODES)))[int(r[1])] += r[2]
-            counts = reduce(np.add, seen.values(), np.zeros(len(CODES)))
-            prior = ((counts + 1) / (counts.sum() + len(CODES))).tolist()
-            tables[bucket] = {k: ((v + 4 * np.array(prior)) / (v.sum() + 4)).tolist() for k, v in seen.items()}
-        if (counts > 0).sum() < 2:
-            return None
-        model = UnitModel(None, tables, prior, [], 0.0)  # type: ignore[arg-type]
-        forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=24, maxDepth=7, minInstancesPerNode=3, seed=seed)
-        model.forest = forest.fit(model.columns(train.filter("not held")))
-        held = model.forest.transform(model.columns(train.filter("held"))).select(F.array_max(vector_to_array("probability")), F.col("prediction") == F.col("label")).collect()  # at most a third of ``rows``
-        if held:
-            confidence, right = np.array([r[0] for r in held]), np.array([float(r[1]) for r in held])
-            model.steps, model.accuracy = _isotonic(confidence, right), float(right.mean())
-        return model
-    finally:
-        train.unpersist()
+    known = stated.filter("unidade_comum is not null and _total is not null").orderBy(F.xxhash64("registro_id", F.lit(seed)), "registro_id").limit(rows)
+    train = _features(known).select("registro_id", "unidade_comum", "source_bucket", "category_bucket", *_NUMERIC, F.xxhash64("registro_id", F.lit(seed + 1)).alias("_order"))
+    train = train.withColumn("held", F.pmod("_order", F.lit(3)) == 0).withColumn("label", F.array_position(F.array(*(F.lit(c) for c in CODES)), F.col("unidade_comum")).cast("double") - 1)
+    hidden = F.col("held") | (F.pmod("_order", F.lit(2)) == 0)
+    train = cut_lineage(train.withColumns({c: F.when(hidden, 0.0).otherwise(F.col(c)) for c in _READS}))
+    counts = np.zeros(len(CODES))
+    tables: dict[str, dict[int, list[float]]] = {}
+    for bucket in ("source_bucket", "category_bucket"):
+        seen: dict[int, np.ndarray] = {}
+        for r in train.filter("not held").groupBy(bucket, "label").count().collect():  # at most BUCKETS * units rows
+            seen.setdefault(int(r[0]), np.zeros(len(CODES)))[int(r[1])] += r[2]
+        counts = reduce(np.add, seen.values(), np.zeros(len(CODES)))
+        prior = ((counts + 1) / (counts.sum() + len(CODES))).tolist()
+        tables[bucket] = {k: ((v + 4 * np.array(prior)) / (v.sum() + 4)).tolist() for k, v in seen.items()}
+    if (counts > 0).sum() < 2:
+        return None
+    model = UnitModel(None, tables, prior, [], 0.0)  # type: ignore[arg-type]
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=24, maxDepth=7, minInstancesPerNode=3, seed=seed)
+    model.forest = forest.fit(model.columns(train.filter("not held")))
+    held = model.forest.transform(model.columns(train.filter("held"))).select(F.array_max(vector_to_array("probability")), F.col("prediction") == F.col("label")).collect()  # at most a third of ``rows``
+    if held:
+        confidence, right = np.array([r[0] for r in held]), np.array([float(r[1]) for r in held])
+        model.steps, model.accuracy = _isotonic(confidence, right), float(right.mean())
+    return model
 
 
 def convert(records: DataFrame, units: DataFrame, confident: float = CONFIDENT, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Amounts in minutes: (registro_id, campo, valor, unidade, metodo, confianca, minutos).
+    """Amounts in minutes: (registro_id, campo, valor, unidade, unidade_original, previsto, metodo, confianca, minutos, acuracia).
 
-    ``metodo`` says where the unit comes from: unidade, texto, ementa (stated), previsto (predicted with
+    ``previsto`` is the forest's unit, ``acuracia`` its share of right units on held-out rows with hidden
+    readings. ``metodo`` says where the unit comes from: unidade, texto, ementa (stated), previsto (predicted with
     enough confidence) or revisar (left for review, minutes null). An amount that is unknown gives no
     row: a null total is taken from the raw cell, a null teorica stays unknown. Re-sent records count
     once. Without enough stated units to learn from, all other amounts go to review. Empty tables give
     an empty result.
     """
     needed = ["registro_id", "instituicao", "matriz_codigo", "ementa", "carga_horaria", "carga_horaria_texto", "paginas_origem"]
-    stated = stated_units(records.select(*needed))
-    minutes = {r["codigo"]: r["minutos"] for r in units.select("codigo", "minutos").limit(100).collect()}  # a table of units, not of data
+    # texts are read once, of the syllabus only its length stays; re-sent rows go before anything is counted
+    read = stated_units(records.select(*needed)).withColumn("_size", F.char_length("ementa")).drop("ementa")
+    stated = cut_lineage(once(read.filter("registro_id is not null"), "registro_id"))
     model = fit(stated, rows)
-    known = stated.filter("onde is not null").select(*stated.columns, F.col("unidade_comum").alias("unidade_final"), F.col("onde").alias("metodo"), F.lit(1.0).alias("confianca"))
-    unknown = stated.filter("onde is null")
     if model is None:
-        guessed = unknown.select(*stated.columns, F.lit(None).cast("string").alias("unidade_final"), F.lit("revisar").alias("metodo"), F.lit(0.0).alias("confianca"))
+        scored = stated.withColumn("previsto", F.lit(None).cast("string")).withColumn("confianca", F.lit(0.0))
     else:
-        scored = model.predict(_features(unknown))
-        guessed = scored.select(*stated.columns, F.col("previsto").alias("unidade_final"), F.when(F.col("confianca") >= confident, "previsto").otherwise("revisar").alias("metodo"), "confianca")
-    both = known.unionByName(guessed)
-    amounts = F.array(F.struct(F.lit("total").alias("campo"), F.col("_total").alias("valor")), F.struct(F.lit("teorica").alias("campo"), F.col("carga_horaria.teorica").alias("valor")))
-    each = both.select("registro_id", F.col("carga_horaria.unidade").alias("unidade_original"), F.inline(amounts), "unidade_final", "metodo", "confianca").filter("valor is not null")
-    factor = F.create_map(*(x for k, v in minutes.items() for x in (F.lit(k), F.lit(float(v))))) if minutes else F.create_map().cast("map<string,double>")
-    value = F.round(F.col("valor") * factor[F.col("unidade_final")], 0).cast("long")
-    return each.dropDuplicates(["registro_id", "campo"]).select(
-        "registro_id", "campo", "valor", F.col("unidade_final").alias("unidade"), "unidade_original", "metodo", F.round("confianca", 4).alias("confianca"), F.when(F.col("metodo") != "revisar", value).alias("minutos")
+        scored = model.predict(_features(stated)).select(*stated.columns, "previsto", "confianca")
+    is_stated = F.col("onde").isNotNull()
+    both = scored.select(
+        *stated.columns,
+        "previsto",
+        F.coalesce("unidade_comum", "previsto").alias("unidade_final"),
+        F.when(is_stated, F.col("onde")).when(F.col("confianca") >= confident, "previsto").otherwise("revisar").alias("metodo"),
+        F.when(is_stated, F.lit(1.0)).otherwise(F.col("confianca")).alias("confianca"),
     )
+    accuracy = F.lit(None if model is None else round(model.accuracy, 4)).cast("double")
+    amounts = F.array(F.struct(F.lit("total").alias("campo"), F.col("_total").alias("valor")), F.struct(F.lit("teorica").alias("campo"), F.col("carga_horaria.teorica").alias("valor")))
+    each = both.select("registro_id", F.col("carga_horaria.unidade").alias("unidade_original"), F.inline(amounts), "unidade_final", "previsto", "metodo", "confianca").filter("valor is not null")
+    minutes = units.groupBy(F.col("codigo").alias("unidade_final")).agg(F.max("minutos").alias("_each"))
+    value = F.round(F.col("valor") * F.col("_each"), 0).cast("long")
+    return each.join(minutes, "unidade_final", "left").select(
+        "registro_id", "campo", "valor", F.col("unidade_final").alias("unidade"), "unidade_original", "previsto", "metodo", F.round("confianca", 4).alias("confianca"),
+        F.when(F.col("metodo") != "revisar", value).alias("minutos"), accuracy.alias("acuracia"),
+    )
