@@ -14,7 +14,7 @@ least a share ``SHARE`` of all words, so at most 1 / SHARE of them.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,6 +104,12 @@ def _regions(text: str, start: int, stop: int) -> list[tuple[int, int]]:
     return outer
 
 
+def _around(regions: list[tuple[int, int]], i: int) -> tuple[int, int] | None:
+    """The region that opens before ``i`` and closes at it or later; regions are apart and in order."""
+    at = bisect_left(regions, (i, -1)) - 1
+    return regions[at] if at >= 0 and regions[at][1] >= i else None
+
+
 class Splitter:
     """Ends of the sentences of a document, given what the collection tells of common words and abbreviations."""
 
@@ -163,7 +169,6 @@ class Splitter:
             return following in "“«\"(¿¡-•–" and lower not in BEFORE_NAMES and len(lower) > 1
         if lower in BEFORE_NAMES and len(lower) > 1:
             return False
-        assert m is not None or True
         if m and len(m[0]) == 1:
             e = m.end()
             # a letter before a stop or comma is an initial or a label, before a word an article
@@ -199,7 +204,6 @@ class Splitter:
             a = b + 1
         width = max(len(text[a:b].rstrip()) for a, b in lines)
         sentence = start  # where the open sentence begins
-        region = 0
         listed = False
         for n, (a, b) in enumerate(lines):
             line_start = a
@@ -231,7 +235,7 @@ class Splitter:
                 while sentence < stop and text[sentence].isspace():
                     sentence += 1
                 pos = sentence  # past the blank that ended a Thai sentence, or it would be found again
-            if n + 1 < len(lines) and sentence < b and sentence >= line_start and not any(o < b <= c for o, c in regions):
+            if n + 1 < len(lines) and sentence < b and sentence >= line_start and not _around(regions, b):
                 nxt = text[lines[n + 1][0] : lines[n + 1][1]].strip()
                 own_line = text[sentence:b].rstrip()
                 if nxt and self._stands_alone(own_line, nxt, width, sentence == line_start, len(lines)):
@@ -239,7 +243,6 @@ class Splitter:
                     sentence = lines[n + 1][0]
                     while sentence < stop and text[sentence].isspace():
                         sentence += 1
-        del region
         if sentence < stop:
             self._close(text, sentence, stop, out)
 
@@ -278,13 +281,14 @@ class Splitter:
             j = k
             while j < stop and text[j] == " ":
                 j += 1
-            if k > 0 and j < stop and _thai(text[k - 1]) and _thai(text[j]) and not any(o < k < c for o, c in regions):
+            if k > 0 and j < stop and _thai(text[k - 1]) and _thai(text[j]) and not ((r := _around(regions, k)) and k < r[1]):
                 return k, False
             k = text.find(" ", j, limit)
         if mark is None:
             return None
         i, end = mark.start(), mark.end()
-        inside = next(((o, c) for o, c in regions if o < i < c), None)
+        inside = _around(regions, i)
+        inside = inside if inside and i < inside[1] else None
         k = end
         while k < paragraph and (text[k] in CLOSING or (text[k] == "“" and inside and text[inside[0]] == "„") or (text[k] in "   " and text[k + 1 : k + 2] == "»")):
             if text[k] == '"' and not (inside and inside[1] == k):
