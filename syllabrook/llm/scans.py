@@ -194,7 +194,8 @@ def rebuild(lines: list[str], states: np.ndarray, compounds: frozenset[str]) ->
             out.append("")
         else:
             prev = out[-1] if out else ""
-            if prev and prev[-1] in HYPHENS and len(prev) > 1 and prev[-2].isalpha() and (s[0].islower() or s[0].isupper() and prev[-2].isupper()):
+            # only a line that the model takes for a going-on carries a broken word on
+            if state == BODY and prev and prev[-1] in HYPHENS and len(prev) > 1 and prev[-2].isalpha() and (s[0].islower() or s[0].isupper() and prev[-2].isupper()):
                 left, right = re.search(r"[^\W\d_]+$", prev[:-1]), re.match(r"[^\W\d_]+", s)
                 if prev[-1] in "-‐‑" and left and right and f"{left[0]}-{right[0]}".lower() in compounds:
                     out[-1] = prev + s
@@ -301,7 +302,7 @@ def label_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # both sets are bounded: each member stands in a share of all texts
     often = lines.select(F.lit(True).alias("line"), form.alias("form")).union(joined.select(F.lit(False), "form")).groupBy("line", "form").count().filter(F.col("count") >= least).select("line", "form").collect()
     running, compounds = frozenset(f for x, f in often if x), frozenset(f for x, f in often if not x)
-    shown = [r[0].split("\n") for r in several.select("text").limit(SAMPLE).toLocalIterator()]
+    shown = [r[0].split("\n") for r in several.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).toLocalIterator()]
     model = LineModel().fit([_features(x, running) for x in shown])
     known = spark.sparkContext.broadcast((model, running, compounds))
 
