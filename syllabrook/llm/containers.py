@@ -153,10 +153,10 @@ def containers(texts: DataFrame, id_col: str, text_col: str, limit: int = 2048,
     """Every text with its container: (id, peca, tokens, recipiente, texto).
 
     Sizes are tokens of the public tokenizer in ``vocabulary``. Only a text of more than ``limit`` tokens
-    comes in pieces (``peca`` from 0), all but the last as full as characters allow. Null and empty texts
+    comes in pieces (``peca`` from 0), all but the last as full as characters allow. Null and blank texts
     take no space and give no row. Ids must be unique; other columns are not read.
     """
-    data = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
+    data = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(r"text rlike '(?U)\\S'")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

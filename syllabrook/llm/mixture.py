@@ -147,7 +147,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     for each source of the targets or the documents; ``alcancado`` is its share of the mixture's tokens,
     a document without a source counting by its posteriors. A source of the targets without documents
     has share 0 and the others keep their proportions; a source without target is not used, whatever its
-    size. Null and empty texts are not used. A repeated row of targets counts once; targets without
+    size. Null and blank texts are not used. A repeated row of targets counts once; targets without
     weight, and empty tables, give an empty mixture. Ids must be unique.
     """
     spark = documents.sparkSession
@@ -156,7 +156,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     other = len(domains)  # all sources without a target
     weights = np.array([float(r["peso"] or 0) for r in rows] + [0.0])
     caps = np.array([float(max(0, r["cap"] or 0)) for r in rows] + [0.0])
-    data = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "lang", "tipo", F.nullif(F.trim(source_col), F.lit("")).alias("source")).filter("text <> ''")
+    data = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "lang", "tipo", F.nullif(F.trim(source_col), F.lit("")).alias("source")).filter(r"text rlike '(?U)\\S'")
     index = F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i)))) if domains else F.create_map().cast("map<string,int>")
     data = data.withColumn("domain", F.when(F.col("source").isNotNull(), F.coalesce(index[F.col("source")], F.lit(other))))
     classifier = fit_classifier(data.filter("domain is not null"), [*domains, ""])

@@ -148,6 +148,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL by brute force: all records that share a pair of words, all pairs of vectors."""
     return {
         "p1_found": r"SELECT DISTINCT trecho_id FROM trecho_academico WHERE len(regexp_extract_all(texto, '[^ \t\n\x{00a0}]+')) > 128",
+        "p2_found": r"""WITH t AS (SELECT registro_id AS id, any_value(regexp_extract_all(strip_accents(lower(coalesce(ementa, '') || chr(10) || coalesce(conteudo_programatico, ''))), '\p{L}+')) AS w FROM disciplina_equivalencia GROUP BY 1),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t WHERE len(w) >= 50)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+j AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM j JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c) >= 0.6""",
+        "p4_found": """WITH v AS (SELECT trecho_id AS id, vetor::DOUBLE[] AS v FROM representacao_vetorial WHERE list_dot_product(vetor::DOUBLE[], vetor::DOUBLE[]) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS trecho_id_a, greatest(a, b) AS trecho_id_b FROM t WHERE s >= 0.85""",
     }
