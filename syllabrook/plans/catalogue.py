@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from syllabrook.plans import amounts, catalog, documents, matching, records, stateful
+from syllabrook.plans import amounts, catalog, documents, lookups, matching, records, stateful
 from syllabrook.plans.registry import Query
 
-_MODULES = (catalog, matching, records, documents, stateful)
+_MODULES = (catalog, matching, records, documents, stateful, lookups)
 
 
 def queries() -> dict[str, Query]:
