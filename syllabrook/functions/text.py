@@ -177,15 +177,18 @@ def section_header(c: Column) -> Column:
     """
     labels = F.create_map(*(F.lit(x) for field, names in SECTIONS.items() for name in names for x in (name, field)))
     line = F.regexp_replace(F.regexp_replace(c, r"^\s*(?:\d+(?:\.\d+)*(?:\s*[.\-–):]\s*|\s+))", ""), r"^\s+|\s+$", "")
-    key = F.trim(comparison_key(line), F.lit(" :;()."))
-    halved = F.regexp_replace(key, r"(.)\1", "$1")
-    doubled = (F.length(key) % 2 == 0) & (F.length(halved) * 2 == F.length(key))
-    before = F.trim(comparison_key(F.substring_index(line, ":", 1)), F.lit(" ()"))
-    after = _strip(F.regexp_replace(line, r"^[^:]*:", ""))
-    whole = F.coalesce(F.when(doubled, labels[halved]), labels[key])
-    return F.when(whole.isNotNull(), F.struct(whole.alias("campo"), F.lit("").alias("valor"))).when(
-        F.contains(line, F.lit(":")) & labels[before].isNotNull(), F.struct(labels[before].alias("campo"), after.alias("valor"))
-    )
+    # each step is bound once, as the element of an array of one: written out, the keys would stand there many times
+    keys = F.transform(F.array(line), lambda x: F.struct(x.alias("l"), F.trim(comparison_key(x), F.lit(" :;().")).alias("k"), F.trim(comparison_key(F.substring_index(x, ":", 1)), F.lit(" ()")).alias("b")))
+
+    def opened(x: Column) -> Column:
+        halved = F.regexp_replace(x["k"], r"(.)\1", "$1")
+        doubled = (F.length(x["k"]) % 2 == 0) & (F.length(halved) * 2 == F.length(x["k"]))
+        whole = F.coalesce(F.when(doubled, labels[halved]), labels[x["k"]])
+        after = F.when(F.contains(x["l"], F.lit(":")) & whole.isNull(), _strip(F.regexp_replace(x["l"], r"^[^:]*:", ""))).otherwise("")
+        field = F.coalesce(whole, F.when(F.contains(x["l"], F.lit(":")), labels[x["b"]]))
+        return F.when(field.isNotNull(), F.struct(field.alias("campo"), after.alias("valor")))
+
+    return F.get(F.transform(keys, opened), 0)
 
 
 def is_course_name(c: Column) -> Column:

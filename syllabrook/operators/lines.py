@@ -20,13 +20,18 @@ def segments(lines: DataFrame, key: str, start: Column) -> DataFrame:
     return lines.withColumn("segmento", F.sum(F.when(start, 1).otherwise(0)).over(w))
 
 
+def headed(lines: DataFrame) -> DataFrame:
+    """Adds ``abre``, the section that a line opens with the text after its label, recognized once for all who ask."""
+    return lines.withColumn("abre", section_header(F.col("texto")))
+
+
 def active_section(lines: DataFrame, key: str) -> DataFrame:
-    """Adds ``secao``: the field of the last header of the segment, null after a label that ends it or after a skipped page."""
+    """Adds ``secao`` to headed lines: the field of the last header of the segment, null after a label that ends it or after a skipped page."""
     order = Window.partitionBy(key, "segmento").orderBy("indice")
-    marked = lines.withColumn("_h", section_header(F.col("texto"))["campo"]).withColumn("_gap", F.col("pagina") > F.lag("pagina").over(order) + 1)
-    mark = F.when(F.col("_h").isNotNull(), F.col("_h")).when(F.col("_gap"), F.lit("_parar"))
+    marked = lines.withColumn("_gap", F.col("pagina") > F.lag("pagina").over(order) + 1)
+    mark = F.when(F.col("abre").isNotNull(), F.col("abre.campo")).when(F.col("_gap"), F.lit("_parar"))
     last = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("secao", F.nullif(last, F.lit("_parar"))).withColumn("cabecalho", F.col("_h").isNotNull()).drop("_h", "_gap")
+    return marked.withColumn("secao", F.nullif(last, F.lit("_parar"))).withColumn("cabecalho", F.col("abre").isNotNull()).drop("_gap")
 
 
 def after_footer(lines: DataFrame, key: str, footer: Column) -> Column:

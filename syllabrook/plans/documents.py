@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syllabrook.functions.text import SECTIONS, is_course_name, section_header, without_bullets
+from syllabrook.operators import extract as X
 from syllabrook.operators import lines as N
 from syllabrook.plans.catalog import _ONCE
 from syllabrook.plans.registry import Registry
@@ -49,7 +50,7 @@ def section_headers(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def section_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with the section they stand in, by the last header of their segment."""
-    rows = N.active_section(N.segments(_lines(spark, folder), "doc_id", _is_start()), "doc_id")
+    rows = N.active_section(N.segments(N.headed(_lines(spark, folder)), "doc_id", _is_start()), "doc_id")
     return rows.filter("secao is not null and not cabecalho").select("doc_id", "indice", "secao", without_bullets("texto").alias("texto"))
 
 
@@ -128,3 +129,16 @@ def page_decisions(spark: SparkSession, folder: str) -> DataFrame:
     odd = F.char_length("text") - F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}\s\p{P}\p{M}]", ""))
     decision = F.when(F.coalesce("text", F.lit("")) == "", "vazia").when(odd / F.char_length("text") > 0.05, "ilegivel").when(F.char_length("text") < 40, "esparsa").otherwise("texto")
     return table(spark, folder, "documents").select("doc_id", decision.alias("decisao"))
+
+
+@query()
+def extracted_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Courses found in documents, line by line."""
+    out = X.records(_lines(spark, folder), "doc_id")
+    return out.withColumn("paginas_origem", F.array_join(F.col("paginas_origem").cast("array<string>"), ","))
+
+
+@query(r"""SELECT doc_id, indice, try_cast(replace(nullif(regexp_extract(texto, '(?i)carga\s+hor[aáÁ]ria(?:\s+total)?(?:\s*\(h/a\))?\s*:?\s*(\d+(?:[,.]\d+)?)\s*(horas?|h/a|h)?\s*$', 1), ''), ',', '.') AS DOUBLE) AS total FROM {lines} WHERE regexp_matches(texto, '(?i)carga\s+hor[aáÁ]ria(?:\s+total)?(?:\s*\(h/a\))?\s*:?\s*(\d+(?:[,.]\d+)?)\s*(horas?|h/a|h)?\s*$')""".replace("{lines}", _LINES))
+def workload_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that state a total workload."""
+    return _lines(spark, folder).select("doc_id", "indice", X.workload(F.col("texto"), "total").alias("total")).filter("total is not null")

@@ -21,7 +21,7 @@ def json_documents(spark: SparkSession, folder: str, pattern: str = "*.json", re
     that is no JSON, or no document, comes out with its reason in ``erro`` and stops no other.
     """
     files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder)
-    rows = files.select(F.col("_metadata.file_path").alias("arquivo"), F.regexp_replace("value", "^﻿", "").alias("t"))
+    rows = files.select(F.col("_metadata.file_path").alias("arquivo"), F.regexp_replace("value", "^\ufeff", "").alias("t"))
     both = F.from_json("t", f"struct<resultado:{DOCUMENT},disciplinas:array<{COURSE}>,instituicao:string,curso:string,observacoes_documento:array<string>>")
     rows = rows.withColumn("json_ok", F.try_parse_json("t").isNotNull()).withColumn("b", both)
     bare = F.struct(*(F.col(f"b.{c}") for c in ("instituicao", "curso", "disciplinas", "observacoes_documento")))

@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan one table of a folder (schema from the files; column pruning and filters reach the scan)."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """Scan one table of a folder; column pruning and filters reach the scan.
+
+    The schema is that of the files; with ``columns`` (name to type) these alone are read and cast, and a
+    missing one is an error before any row is read (S28).
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    if columns is None:
+        return rows
+    absent = [c for c in columns if c not in rows.columns]
+    if absent:
+        raise ValueError(f"{name} lacks {', '.join(absent)}")
+    return rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in columns.items()))
 
 
 def once(df: DataFrame, key: str) -> DataFrame:

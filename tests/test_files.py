@@ -7,7 +7,7 @@ from syllabrook.sources import files
 
 def test_documents_of_a_folder(spark, tmp_path):
     course = {"nome": "Cálculo", "ementa": "Limites", "paginas_origem": [1, 2], "carga_horaria": {"total": 60, "unidade": "HORA"}}
-    (tmp_path / "a__gemini.json").write_text("﻿" + json.dumps({"resultado": {"instituicao": "U", "curso": "C", "disciplinas": [course, {"nome": " "}]}}), encoding="utf-8")
+    (tmp_path / "a__gemini.json").write_text("\ufeff" + json.dumps({"resultado": {"instituicao": "U", "curso": "C", "disciplinas": [course, {"nome": " "}]}}), encoding="utf-8")
     (tmp_path / "b__gemini.json").write_text(json.dumps({"instituicao": "V", "disciplinas": []}))
     (tmp_path / "c__gemini.json").write_text("{nada")
     (tmp_path / "d__gemini.json").write_text("{}")

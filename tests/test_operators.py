@@ -102,7 +102,7 @@ def test_lockout(spark):
 
 def test_sections_end_and_go_on(spark):
     text = "Ementa\nLimites\nMetodologia\nAulas\nBibliografia básica\nLivro"
-    rows = lines.segments(lines.lines_of(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t"), "k", F.lit(False))
+    rows = lines.segments(lines.headed(lines.lines_of(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t")), "k", F.lit(False))
     got = {r.texto: r.secao for r in lines.active_section(rows, "k").filter("not cabecalho and texto <> ''").collect()}
     assert got == {"Limites": "ementa", "Aulas": None, "Livro": "bibliografia.basica"}
 
