@@ -32,6 +32,8 @@ from syllabrook.session import keep
 SHARE = 5e-4
 SAMPLE = 3000
 BROADCAST_ROWS = 200_000
+#: A word whose digits can be read in more ways than this (seven digits and more) is a code, not a misread word.
+READINGS = 2_000
 HEADER, PAGE, BODY, BREAK = range(4)
 
 # Words that running headers of course documents consist of, as folded stems.
@@ -226,7 +228,7 @@ def undo(word: str, deep: bool = True) -> set[str]:
             if not options:
                 return set()
             found = {x + o for x in found for o in options}
-            if len(found) > 64:
+            if len(found) > READINGS:
                 return set()
         return found | ({y for x in found for y in undo(x, False)} if deep else set())
     if len(word) < 4:
