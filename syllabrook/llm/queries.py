@@ -24,6 +24,12 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces(chunks, "trecho_id", "texto").withColumnRenamed("id", "trecho_id")
 
 
+def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every chunk that its pieces hold, those they repeat counted once, and whether all pieces keep the limit."""
+    out = p1_pieces(spark, folder).groupBy("trecho_id").agg((F.sum("tokens") - 16 * (F.count("*") - 1)).alias("tokens"), F.bool_and(F.col("tokens") <= 128).alias("no_limite"))
+    return out.withColumn("tokens", F.greatest("tokens", F.lit(0)))
+
+
 def _courses(spark: SparkSession, folder: str) -> DataFrame:
     """ementa, a line break and conteudo_programatico of every record as one text."""
     records = table(spark, folder, "disciplina_equivalencia")
@@ -121,6 +127,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers.containers(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Code points of every document that are in containers, and whether all its containers keep the limit."""
+    held = p8_containers(spark, folder)
+    full = held.groupBy("recipiente").agg(F.sum("tokens").alias("cheio"))
+    return held.join(full, "recipiente").groupBy("doc_id").agg(F.sum(F.char_length("texto")).alias("letras"), F.bool_and(F.col("cheio") <= 2048).alias("no_limite"))
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the mixture with the times each is used, and the share its source reaches beside the one wanted."""
     mixed = mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mistura_alvo"))
@@ -143,8 +156,14 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Code points other than white space of every document that are in sentences."""
+    letters = F.char_length(F.regexp_replace("frase", r"(?U)\s+", ""))
+    return p10_sentences(spark, folder).groupBy("doc_id").agg(F.sum(letters).alias("letras"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_entities": p7_entities, "p8_containers": p8_containers, "p8_coverage": p8_coverage, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences, "p10_coverage": p10_coverage}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,6 +174,15 @@ def oracle_sql() -> dict[str, str]:
 g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t WHERE len(w) >= 50)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
 j AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM j JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c) >= 0.6""",
+        "p2_groups": r"""WITH RECURSIVE t AS (SELECT registro_id AS id, any_value(coalesce(ementa, '') || chr(10) || coalesce(conteudo_programatico, '')) AS texto FROM disciplina_equivalencia GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(strip_accents(lower(texto)), '\p{L}+') AS w FROM t), g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 50)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+j AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+e AS (SELECT j.a, j.b FROM j JOIN n x ON x.id = j.a JOIN n y ON y.id = j.b WHERE c / (x.n + y.n - c) >= 0.6 UNION SELECT x.id, y.id FROM t x JOIN t y ON x.texto = y.texto AND x.id <> y.id WHERE regexp_matches(x.texto, '[\p{L}\p{N}]')),
+r AS (SELECT id, id AS grupo FROM t UNION SELECT e.b, r.grupo FROM r JOIN e ON e.a = r.id WHERE r.grupo < e.b)
+SELECT r.id AS registro_id, min(r.grupo) AS grupo, any_value(coalesce(l.n, 0)) AS ligacoes FROM r LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) l ON l.a = r.id GROUP BY 1""",
+        "p1_coverage": r"SELECT trecho_id, any_value(len(regexp_extract_all(texto, '[^ \t\n\x{00a0}]+'))) AS tokens, TRUE AS no_limite FROM trecho_academico WHERE texto IS NOT NULL GROUP BY 1",
+        "p8_coverage": r"SELECT doc_id, length(text) AS letras, TRUE AS no_limite FROM documents WHERE regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]')",
+        "p10_coverage": r"SELECT doc_id, length(regexp_replace(text, '[\s\x0b\x{85}\p{Z}]+', '', 'g')) AS letras FROM documents WHERE regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]')",
         "p4_found": """WITH v AS (SELECT trecho_id AS id, vetor::DOUBLE[] AS v FROM representacao_vetorial WHERE list_dot_product(vetor::DOUBLE[], vetor::DOUBLE[]) > 0),
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS trecho_id_a, greatest(a, b) AS trecho_id_b FROM t WHERE s >= 0.85""",
