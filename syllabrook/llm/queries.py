@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from syllabrook.llm import canonical, containers, entities, mixture, near_duplicates, neighbours, pieces, scans, sentences
 from syllabrook.llm.name_forms import COURSE_SHORT, INSTITUTION_SHORT
+from syllabrook.session import cut_lineage
 from syllabrook.sources.tables import once, table
 
 
@@ -105,8 +106,9 @@ def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Entities of course units within their institution, and of institutions that the reference list lacks."""
     units = entities.link(table(spark, folder, "disciplina"), "disciplina_id", "nome", "instituicao_id", entities.course_units, established=True)
     rows = table(spark, folder, "instituicao")
-    unlisted = _mapped(spark, folder, "instituicao").filter("referencia_id = -1")
-    other = rows.join(unlisted.select(F.col("id").alias("instituicao_id")), "instituicao_id", "left_semi")
+    # written once: the match is read by several steps, each of which would plan and run it again
+    unlisted = cut_lineage(_mapped(spark, folder, "instituicao").filter("referencia_id = -1").select(F.col("id").alias("instituicao_id")))
+    other = rows.join(unlisted, "instituicao_id", "left_semi")
     return units, entities.link(other, "instituicao_id", "nome", None, entities.institutions, established=False)
 
 

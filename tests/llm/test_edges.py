@@ -122,11 +122,6 @@ def test_variants_of_names(spark):
     assert entities.link(df.limit(0), "disciplina_id", "nome", "instituicao_id", entities.course_units, True).count() == 0
 
 
-def test_united_names():
-    assert entities.united(["calc", "diferencial"], ["calculo", "dif"]) == "calculo diferencial"
-    assert entities.united(["calculo"], ["calc"]) is None and entities.united(["a", "b"], ["a"]) is None
-
-
 def test_parts_of_long_texts():
     text = "ação 漢字 emoji 😀 " * 3000
     got = tokens.parts(text, 100)
