@@ -1,14 +1,11 @@
-"""Keyed state with time rules: failure windows with a block, sessions, tokens used once; as a batch fold and as a stream."""
+"""Keyed state with time rules as a batch fold: failure windows with a block, sessions, tokens used once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 @dataclass(frozen=True)
@@ -51,31 +48,6 @@ def failure_windows(events: DataFrame, key: str, at: str, failed: Column, order:
     return rows.groupBy(key).agg(state.alias("s")).select(key, F.col("s.gravadas").alias("gravadas"), F.col("s.bloqueios").alias("bloqueios"), F.col("s.ignoradas").alias("ignoradas"))
 
 
-def failure_stream(events: DataFrame, key: str, at: str, failed: Column, order: str, policy: FailurePolicy) -> DataFrame:
-    """The same as a stream: one row of totals for each key and batch, state kept by the engine; late rows are folded as they come."""
-    second = 1_000_000
-    rows = events.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("o"), failed.alias("f"))
-
-    def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, start, until, recorded, blocks, ignored = state.get if state.exists else (0, 0, -1, 0, 0, 0)
-        for at_, _, f in pd.concat(batches)[["t", "o", "f"]].sort_values(["t", "o"]).itertuples(index=False):
-            if until > at_:
-                ignored += 1
-            elif not f:
-                n, start, until = 0, 0, -1
-            else:
-                fresh = n == 0 or start <= at_ - policy.window * second
-                n, start = (1, at_) if fresh else (n + 1, start)
-                hit = n >= policy.limit
-                until = at_ + policy.block * second if hit else -1
-                recorded, blocks = recorded + 1, blocks + int(hit)
-        state.update(tuple(map(int, (n, start, until, recorded, blocks, ignored))))
-        yield pd.DataFrame({"key": [keys[0]], "gravadas": [recorded], "bloqueios": [blocks], "ignoradas": [ignored]})
-
-    schema = "n int, inicio long, ate long, gravadas int, bloqueios int, ignoradas int"
-    return rows.groupBy("key").applyInPandasWithState(fold, "key long, gravadas int, bloqueios int, ignoradas int", schema, "update", GroupStateTimeout.NoTimeout)
-
-
 def last_before(rows: DataFrame, key: str, at: str, order: str, opening: Column, name: str) -> DataFrame:
     """Adds ``name``: the time of the last opening row of the key before each row (as-of by one window, no join)."""
     w = Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)

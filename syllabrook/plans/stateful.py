@@ -11,6 +11,7 @@ from syllabrook.operators import stateful as S
 from syllabrook.plans.registry import Registry
 from syllabrook.session import shared_folder
 from syllabrook.sources.tables import table
+from syllabrook.streaming.lockout import failure_stream
 
 registry = Registry()
 query = registry.query
@@ -36,7 +37,7 @@ def login_lockout_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same by a stream over the table that stops when all is read (K1)."""
     events = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     events = events.filter(F.col("event_type").isin("error", "signup"))
-    out = S.failure_stream(events, "user_id", "ts", F.col("event_type") == "error", "event_id", POLICY)
+    out = failure_stream(events, "user_id", "ts", F.col("event_type") == "error", "event_id", POLICY)
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:

@@ -1 +1 @@
-
+"""Keyed state over streams."""
