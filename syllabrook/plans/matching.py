@@ -152,7 +152,14 @@ def token_pack(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("trecho_id", F.posexplode(M.packed(F.col("texto"), 24)).alias("indice", "texto"))
 
 
-@query()
+_SECTION = "SELECT registro_id, '{c}' AS secao, {parts} AS l FROM " + _ONCE + " WHERE {c} IS NOT NULL"
+_PARTS = {c: f"string_split_regex({c}, '\\n+|;')" for c in M._LISTS} | {"ementa": rf"string_split(regexp_replace(ementa, '([.!?]){_SP}', '\1' || chr(1), 'g'), chr(1))"}
+_ALL_SECTIONS = " UNION ALL ".join(_SECTION.format(c=c, parts=_PARTS.get(c, f"[{c}]")) for c in M.SECTION_ORDER)
+
+
+@query(rf"""WITH p AS (SELECT registro_id, secao, unnest(l) AS p, unnest(range(len(l))) AS o FROM ({_ALL_SECTIONS})), s AS (SELECT registro_id, secao, o, list_filter(string_split_regex(p, '{_SP}'), lambda x: x <> '') AS ws FROM p),
+w AS (SELECT registro_id, secao, o, unnest(ws) AS w, unnest(range(len(ws))) AS n FROM s), c AS (SELECT registro_id, secao, o, n // 64 AS c, string_agg(w, ' ' ORDER BY n) AS texto FROM w GROUP BY ALL)
+SELECT registro_id, secao, (row_number() OVER (PARTITION BY registro_id, secao ORDER BY o, c) - 1)::INTEGER AS indice, texto FROM c""")
 def course_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of at most 64 words of all sections of every record."""
     return M.chunks(once(table(spark, folder, "disciplina_equivalencia").select("registro_id", *M.SECTION_ORDER), "registro_id"), "registro_id", 64)

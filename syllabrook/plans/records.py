@@ -200,7 +200,12 @@ def block_merge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_MERGE = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT matriz_codigo, {_MERGE.format(_plain("nome"))} AS nome, registro_id, unnest(string_split(conteudo_programatico, chr(10))) AS l, unnest(range(len(string_split(conteudo_programatico, chr(10))))) AS i FROM {_ONCE} WHERE matriz_codigo IS NOT NULL AND nome IS NOT NULL AND conteudo_programatico IS NOT NULL),
+f AS (SELECT *, trim(l) AS t, row_number() OVER (PARTITION BY matriz_codigo, nome, trim(l) = '', {_MERGE.format(_plain("trim(l)"))} ORDER BY registro_id, i) AS rn FROM l)
+SELECT matriz_codigo, nome, coalesce(string_agg(t, chr(10) ORDER BY registro_id, i) FILTER (rn = 1 AND t <> ''), '') AS conteudo FROM f GROUP BY 1, 2""")
 def merged_contents(spark: SparkSession, folder: str) -> DataFrame:
     """Contents of records of one grid and name as one list, each line once."""
     rows = _records(spark, folder, "nome", "matriz_codigo", "conteudo_programatico").filter("matriz_codigo is not null and nome is not null and conteudo_programatico is not null")
