@@ -10,11 +10,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from syllabrook.functions.text import ACCENTED, PLAIN, evidence_key, list_pieces, sentence_pieces
+from syllabrook.operators import lexical
 
 #: The sections of a course in the order in which they are cut into chunks.
 SECTION_ORDER = ("ementa", "conteudo_programatico", "objetivo_geral", "objetivos_especificos", "objetivos_nao_classificados", "competencias_habilidades")
+#: Pairs of chunks of one pair of courses that are scored together.
+PRODUCTS = 1 << 20
 _LISTS = ("conteudo_programatico", "objetivos_especificos", "objetivos_nao_classificados")
 
 
@@ -71,19 +75,24 @@ def grams(text: Column) -> Column:
 def lexical_pairs(targets: DataFrame, sources: DataFrame) -> DataFrame:
     """TF-IDF cosine of all chunks of each pair: (par, destino, origem, lexical), pairs of chunks without a shared gram left out.
 
-    Inputs are (par, id, texto). Frequencies are those of the pair's own texts; all joins are on (pair, gram).
+    Inputs are (par, id, texto). Frequencies are those of the pair's own texts, which meet in one task; a
+    pair of courses with more than ``PRODUCTS`` pairs of chunks is scored in blocks of targets, each of
+    which knows all its texts.
     """
     both = targets.select("par", F.lit(True).alias("alvo"), "id", "texto").unionByName(sources.select("par", F.lit(False).alias("alvo"), "id", "texto"))
-    texts = both.groupBy("par").agg(F.count("*").alias("n"))
-    tf = both.select("par", "alvo", "id", F.explode(grams(F.col("texto"))).alias("g")).groupBy("par", "alvo", "id", "g").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("par", "g").agg(F.count("*").alias("df")).join(texts, "par")
-    idf = df.select("par", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, ["par", "g"]).select("par", "alvo", "id", "g", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy("par", "alvo", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    w = w.join(norms, ["par", "alvo", "id"]).select("par", "alvo", "id", "g", (F.col("w") / F.col("norm")).alias("w"))
-    a = w.filter("alvo").select("par", "g", F.col("id").alias("destino"), F.col("w").alias("wa"))
-    b = w.filter("not alvo").select("par", "g", F.col("id").alias("origem"), F.col("w").alias("wb"))
-    return a.join(b, ["par", "g"]).groupBy("par", "destino", "origem").agg(F.sum(F.col("wa") * F.col("wb")).alias("lexical"))
+    # words between single blanks, one before and one after
+    plain = F.regexp_replace(F.concat(F.lit(" "), F.translate(F.lower(F.coalesce("texto", F.lit(""))), ACCENTED, PLAIN), F.lit(" ")), r"(?U)\s+", " ")
+    texts = both.filter("par is not null").select("par", "alvo", "id", plain.alias("plain"))
+    all_of = Window.partitionBy("par")
+    a, b = F.count_if("alvo").over(all_of), F.count_if(~F.col("alvo")).over(all_of)
+    sized = texts.withColumn("blocks", F.greatest(F.lit(1), F.least(a, F.ceil(a * b / PRODUCTS))).cast("int"))
+    spread = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block")
+    kind = F.when(~F.col("alvo"), lexical.SOURCE).when(own, lexical.OWN).otherwise(lexical.OTHER)
+    rows = spread.select("par", "block", kind.alias("kind"), "id", "plain").repartition("par", "block").sortWithinPartitions("par", "block", "kind", "id")
+    ids = both.schema["id"].dataType
+    schema = StructType([both.schema["par"], StructField("destino", ids), StructField("origem", ids), StructField("lexical", DoubleType())])
+    return rows.mapInArrow(lexical.cosines, schema).filter("destino is not null and origem is not null")
 
 
 def top_evidence(scored: DataFrame, k: int, hybrid: bool) -> DataFrame:

@@ -1,12 +1,15 @@
 """Edge cases of the core's operators on small rows."""
 
+import math
 import unicodedata
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from syllabrook.functions import text as T
-from syllabrook.operators import lines, matching, records, relational, stateful
+from syllabrook.operators import lexical, lines, matching, records, relational, stateful
 from syllabrook.operators.components import components
 
 
@@ -84,6 +87,40 @@ def test_lexical_similarity(spark):
     assert out[(1, 7)] == pytest.approx(1.0) and (1, 8) not in out
 
 
+def test_lexical_pairs_in_blocks_agree_with_sums_over_grams(spark, monkeypatch):
+    texts = ["redes de computadores", "Redes  e\tprotocolos", "", " a ", "ção é", "algoritmos em redes", "日本 日本語", None]
+    a = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "redes"), (None, 0, "redes")], "par int, id int, texto string")
+    b = spark.createDataFrame([(1, 5 + i, t) for i, t in enumerate(reversed(texts))] + [(3, 0, "redes"), (None, 0, "redes")], "par int, id int, texto string")
+    docs = {}
+    for alvo, side in ((True, a), (False, b)):
+        for r in side.filter("par = 1").withColumn("g", matching.grams(F.col("texto"))).collect():
+            docs[alvo, r.id] = Counter(r.g or [])
+    df = Counter(g for d in docs.values() for g in d)
+    w = {k: {g: c * (math.log((1 + len(docs)) / (1 + df[g])) + 1) for g, c in d.items()} for k, d in docs.items()}
+    norm = {k: math.sqrt(sum(x * x for x in d.values())) for k, d in w.items()}
+    want = {(1, i, j): sum(x * w[False, j].get(g, 0) for g, x in w[True, i].items()) / norm[True, i] / norm[False, j] for s, i in w if s for t, j in w if not t and w[True, i].keys() & w[False, j].keys()}
+    for products in (1 << 20, 10):
+        monkeypatch.setattr(matching, "PRODUCTS", products)
+        got = {(r.par, r.destino, r.origem): r.lexical for r in matching.lexical_pairs(a, b).collect()}
+        assert got == pytest.approx(want) and got.keys() == want.keys()
+
+
+def test_grams_in_parts_give_the_same_sums(monkeypatch):
+    rows = {"par": [1] * 4 + [2] * 2, "block": [0] * 6, "kind": [0, 0, 1, 2, 0, 1], "id": [1, 1, 2, 3, 1, 1], "plain": [" redes ", " rede a ", " a redes ", " redes ", " ", " a "]}
+    batches = pa.table(rows).to_batches(max_chunksize=1)
+    whole = pa.Table.from_batches(lexical.cosines(iter(batches))).to_pylist()
+    for name in ("LETTERS", "SORTED", "PRODUCTS", "_WIDE"):
+        monkeypatch.setattr(lexical, name, 5)
+    parts = pa.Table.from_batches(lexical.cosines(iter(batches))).to_pylist()
+    assert [(r["par"], r["destino"], r["origem"]) for r in parts] == [(1, 1, 2)] and parts[0]["lexical"] == pytest.approx(whole[0]["lexical"])
+
+
+def test_lexical_pairs_shuffle_texts_not_grams(spark):
+    a = spark.createDataFrame([(1, 1, "redes")], "par int, id int, texto string")
+    plan = matching.lexical_pairs(a, a)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan
+
+
 def test_triage_boundaries(spark):
     rows = [("comparado", 20, 17, True), ("comparado", 20, 17, None), ("comparado", 10, 3, True), ("comparado", 10, 10, False), ("comparado", 10, 2, None), ("origem_sem_conteudo", 0, 0, True), ("comparado", 0, 0, True)]
     df = spark.createDataFrame(rows, "s string, t long, c long, w boolean")
