@@ -174,3 +174,31 @@ def test_sentences_of_odd_texts(spark):
     assert not by[1] and not by[2] and not by[3] and len(by[4]) == 4000 and sorted(by[5]) == [14, 14, 19, 19]
     assert by[6] == [3, 6] and by[7] == [50_000] and by[8]
     assert sentences.sentences(texts(spark, []), "doc_id", "text").count() == 0
+
+
+def test_names_of_a_common_word_meet_only_if_more_is_alike(spark, monkeypatch):
+    draw = random.Random(5)
+    names = [f"b{''.join(draw.choices('acefgijlmnopqrtuvz', k=8))} d{''.join(draw.choices('acefgijlmnopqrtuvz', k=8))} faculdade" for _ in range(90)]
+    names += ["bacelia devudrim faculdade", "bacelia devudirm faculdade", "bacelai dev faculdade", "bacelia devudrim facudlade", "bacela devudrim faculdade"]
+    known = spark.createDataFrame([(" ".join(sorted(x.split())), 1) for x in sorted(set(names))], "spelling string, n long").cache()
+    found = {}
+    for crowd in (10**9, 5):
+        monkeypatch.setattr(entities, "CROWD", crowd)
+        found[crowd] = sorted(map(tuple, entities._matches(known, known, False, False).collect()))
+    assert found[5] == found[10**9] and len(found[5]) >= 6
+    # far fewer pairs are compared than there are in the block of the common word
+    names = known.select("spelling", F.array(F.lit("w faculdade")).alias("heads"))
+    n = known.count()
+    assert entities._crowded(names).count() < n * (n - 1) / 4
+
+
+def test_marks_of_words_that_are_read_as_one(spark):
+    words = ["engenharia", "engenhari", "egnenharia", "engen", "enegn", "eng", "en", "engenhraai", "ngenharia", "computacao", "cmoputcao", "comp", "copm", "compu", "computac", "cmputac", "sao", "soa", "joao", "jao", "administracao", "admnistr", "adminsitrac"]
+    alike = 0
+    for a in words:
+        for b in words:
+            if entities.word_cost(a, b) is not None:
+                x, y = entities.word_marks(a), entities.word_marks(b)
+                assert x[0] & y[0] or x[1] & y[2] or x[2] & y[1], (a, b)
+                alike += 1
+    assert alike > 2 * len(words)
